@@ -2,7 +2,7 @@
 
 # Patterns. (?U) keeps \b, \s and \w Unicode-aware on every JDK.
 WORD = r"(?U)\b[\p{L}\p{N}][\p{L}\p{N}\-_/]*\b"
-SENTENCE_BREAK = r"[.!?;\n]+"
+SENTENCE_BREAK = ".!?;"  # any of these, or a line break
 UPPER_ABBREVIATION = r"(?U)\b[A-ZÀ-Ý0-9]{2,}\b"
 DOTTED_ABBREVIATION = r"(?U)\b(?:[A-Za-z]\.){2,}[A-Za-z]?\b"
 ICD10 = r"(?U)\b[A-TV-Z][0-9]{2}(?:\.[0-9A-TV-Z]{0,4})?\b"

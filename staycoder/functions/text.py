@@ -15,11 +15,14 @@ from staycoder.functions import fixed
 def strip(text: Column) -> Column:
     """Drop leading and trailing whitespace the way Python's str.strip() does.
 
-    The look-behind lets the trailing branch start only at the head of a whitespace run,
-    so a long run inside the text costs linear, not quadratic, time.
+    Only texts that begin or end with whitespace go through the replacement; its look-behind lets
+    the trailing branch start at the head of a whitespace run only, so that long runs inside the
+    text cost linear time.
     """
     ws = fixed.WS
-    return F.regexp_replace(text, rf"(?U)\A[{ws}]++|(?<![{ws}])[{ws}]++\z", "")
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    stripped = F.regexp_replace(text, rf"(?U)\A[{ws}]++|(?<![{ws}])[{ws}]++\z", "")
+    return F.when(F.rlike(ends, F.lit(rf"(?U)[{ws}]")), stripped).otherwise(text)
 
 
 def first_filled(*texts: Column) -> Column:
@@ -56,14 +59,17 @@ def word_tokens(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Non-blank stripped pieces between strong punctuation or line breaks."""
-    pieces = F.transform(F.split(text, fixed.SENTENCE_BREAK), strip)
-    return F.filter(pieces, lambda s: s != "")
+    """Non-blank stripped pieces between strong punctuation or line breaks: from the first to the
+    last visible character of a piece."""
+    visible, inside = rf"[^{fixed.WS}{fixed.SENTENCE_BREAK}]", rf"[^\n{fixed.SENTENCE_BREAK}]"
+    pattern = rf"(?U){visible}(?:{inside}*{visible})?"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
 def count_sentences(text: Column) -> Column:
     """Number of `sentences`: one match per piece, from its first visible character to its end."""
-    return F.regexp_count(text, F.lit(rf"(?U)[^{fixed.WS}.!?;][^.!?;\n]*+"))
+    pattern = rf"(?U)[^{fixed.WS}{fixed.SENTENCE_BREAK}][^\n{fixed.SENTENCE_BREAK}]*+"
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def count_sections(text: Column) -> Column:

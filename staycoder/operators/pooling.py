@@ -65,7 +65,8 @@ def _component_medians(chunks: DataFrame, doc: str, value: str, carry: list[str]
     """Exact median per component. Values are ranked per (document, component) by a sort that can
     spill, so the components of a long document go to different tasks and none is held in memory."""
     component = Window.partitionBy(doc, "_i")
-    values = chunks.select(doc, *carry, F.posexplode(as_array(chunks, value)).alias("_i", "_x"))
+    values = chunks.select(doc, *carry, F.posexplode_outer(as_array(chunks, value)).alias("_i", "_x"))
+    values = values.where("_i is not null")
     ranked = values.withColumn("_rank", F.row_number().over(component.orderBy("_x"))).withColumn(
         "_n", F.count(F.lit(1)).over(component)
     )

@@ -69,7 +69,7 @@ def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def components(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    exploded = df.select(*keys, F.posexplode(value).alias("i", "x"))
+    exploded = df.select(*keys, F.posexplode_outer(value).alias("i", "x"))
     return exploded.select(*keys, F.col("i").cast("bigint").alias("i"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
@@ -252,7 +252,7 @@ def answer_code(spark, sf_dir):
 @query
 def rewrite_prompt(spark, sf_dir):
     messages = prompts.rewrite_messages(F.col("text"), 300)
-    return docs(spark, sf_dir).select("doc_id", F.explode(messages).alias("m")).select("doc_id", "m.role", "m.content")
+    return docs(spark, sf_dir).select("doc_id", F.explode_outer(messages).alias("m")).where("m is not null").select("doc_id", "m.role", "m.content")
 
 
 @query
@@ -445,7 +445,7 @@ def doc_classifier(spark, sf_dir):
 def plugin_scoring(spark, sf_dir):
     notes = docs(spark, sf_dir).select("doc_id", F.when(F.col("lang") != "es", F.col("text")).alias("text"))
     rows = notes.select("doc_id", scoring.score(F.col("text"), letter_encoder(), "array<double>").alias("x"))
-    return rows.select("doc_id", F.expr("cast(x[0] + 2 * x[1] + 3 * x[2] as bigint)").alias("weighted"))
+    return rows.select("doc_id", F.expr("x[0] + 2 * x[1] + 3 * x[2]").alias("weighted"))
 
 
 @query
