@@ -15,14 +15,11 @@ from staycoder.functions import fixed
 def strip(text: Column) -> Column:
     """Drop leading and trailing whitespace the way Python's str.strip() does.
 
-    Only texts that begin or end with whitespace go through the replacement; its look-behind lets
-    the trailing branch start at the head of a whitespace run only, so that long runs inside the
-    text cost linear time.
+    The look-behind lets the trailing branch start at the head of a whitespace run only, so that
+    long runs inside the text cost linear time. The input is evaluated once.
     """
     ws = fixed.WS
-    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
-    stripped = F.regexp_replace(text, rf"(?U)\A[{ws}]++|(?<![{ws}])[{ws}]++\z", "")
-    return F.when(F.rlike(ends, F.lit(rf"(?U)[{ws}]")), stripped).otherwise(text)
+    return F.regexp_replace(text, rf"(?U)\A[{ws}]++|(?<![{ws}])[{ws}]++\z", "")
 
 
 def first_filled(*texts: Column) -> Column:
@@ -45,7 +42,9 @@ def normalize_text(
     """Light cleaning; null becomes the empty string. Each step can be switched off."""
     out = F.coalesce(text, F.lit(""))
     if strip_ends:
-        out = strip(out)
+        # most notes start and end with a visible character: look at those before scanning the text
+        ends = F.concat(F.substring(out, 1, 1), F.substring(out, -1, 1))
+        out = F.when(F.rlike(ends, F.lit(rf"(?U)[{fixed.WS}]")), strip(out)).otherwise(out)
     if normalize_newlines:
         out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     if collapse_spaces:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import warnings
 from dataclasses import dataclass
@@ -30,6 +31,14 @@ def usable_rows(df: DataFrame, vector: str, label: str) -> DataFrame:
     return df.where(F.col(vector).isNotNull() & F.col(label).isNotNull() & (F.col(label) != ""))
 
 
+def _for_iterations(rows: DataFrame, n_rows: int, rows_per_task: int = 5_000) -> DataFrame:
+    """As many partitions as cores, fewer for a small table: each iteration runs one task per partition
+    and sends one gradient (classes x features) from each. Only a small table is shuffled for it."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    wanted = max(1, math.ceil(n_rows / rows_per_task))
+    return rows.repartition(wanted) if wanted < cores else rows.coalesce(cores)
+
+
 def fit_head(
     df: DataFrame,
     vector: str = "emb",
@@ -50,7 +59,8 @@ def fit_head(
         F.col(label).cast("string").alias("label_name"),
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"),
     )
-    classes = rows.groupBy("label_name").agg(F.sum("weight").alias("w")).orderBy("label_name").collect()
+    per_class = rows.groupBy("label_name").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
+    classes = per_class.orderBy("label_name").collect()
     if not classes:
         raise ValueError("no usable training row: every vector or label is missing")
     if len(classes) == 1:
@@ -73,6 +83,7 @@ def fit_head(
         tol=config.tolerance,
         aggregationDepth=config.aggregation_depth,
     )
+    rows = _for_iterations(rows, sum(row["n"] for row in classes))
     model = solver.fit(indexer.transform(rows))
     if model.summary.totalIterations >= config.max_iter:
         warnings.warn(f"the head stopped after {config.max_iter} iterations", stacklevel=2)

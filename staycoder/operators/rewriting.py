@@ -48,7 +48,9 @@ def rewrite(
         return df.withColumn(out, base)
     messages = rewrite_messages(base, config.target_words)
     answer = score(messages, model_factory, "string", config.batch_size, config.seed)
-    return df.withColumn(out, F.coalesce(strip(answer), F.lit("")))
+    # two projections: an expression around the model call could run the model more than once
+    answered = df.withColumn(out, answer)
+    return answered.withColumn(out, F.coalesce(strip(F.col(out)), F.lit("")))
 
 
 def rewrite_extract(

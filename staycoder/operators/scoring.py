@@ -32,7 +32,7 @@ def score(
     Only the input column travels to Python. Batches run over row borders of documents, so explode
     chunks first. The result is marked non-deterministic: Spark neither repeats nor reorders it
     within one plan, but a second action calls the model again; store it (`write_once`) before
-    using it twice.
+    using it twice. Make the result a column of its own before computing with it.
     """
     size = max(1, int(batch_size))
 

@@ -39,6 +39,7 @@ def test_plan(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert ("EvalPython" in plan) == (name in PLUGIN)
+    assert "pythonUDF1" not in plan  # a model is called once per row
 
 
 def test_columns_are_pruned(spark):

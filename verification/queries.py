@@ -105,7 +105,7 @@ def scan_documents(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
 
 
 @query
@@ -128,8 +128,7 @@ def prediction_output(spark, sf_dir):
 
 @query
 def prediction_with_metrics(spark, sf_dir):
-    noted = spread(_predicted(spark, sf_dir), "doc_id")
-    noted = noted.withColumn("text_rw", text.normalize_text(F.replace("text", F.lit("."), F.lit(".  ")), lower=True))
+    noted = _predicted(spark, sf_dir).withColumn("text_rw", text.normalize_text(F.replace("text", F.lit("."), F.lit(".  ")), lower=True))
     noted = text.add_text_metrics(noted, "text", "before")
     noted = text.add_text_metrics(noted, "text_rw", "after")
     out = sinks.prediction_output(noted, "pred", metrics={"before": "before", "after": "after"})
