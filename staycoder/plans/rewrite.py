@@ -31,13 +31,12 @@ def rewrite_dataset(
     """
     require_columns(table, [text], "input table")
     source = [c for c in table.columns if c != out_text]
-    base = table.select(
-        F.struct(*source).alias("_source"),
-        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-    )
-    rewritten = base.transform(rewriter)
+    note = F.coalesce(F.col("_source")[text].cast("string"), F.lit("")).alias("text")
+    rows = table.select(F.struct(*source).alias("_source"))
+    rewritten = rows.select("_source", note).transform(rewriter).select("_source", "text_rw")
     if sampled:
         rewritten = write_once(rewritten, "rewritten")
+    rewritten = rewritten.select("_source", note, "text_rw")
     measured = add_text_metrics(rewritten, "text", "_before")
     measured = add_text_metrics(measured, "text_rw", "_after")
     return measured.select(
@@ -65,7 +64,7 @@ def run_rewrite(
     observed = Observation("recap")
     write_table(result.observe(observed, *recap_sums()), output_path, fmt)
     settings = {
-        "model": config.model_name,
+        "llm_model": config.model_name,
         "target_words": config.target_words,
         "max_new_tokens": config.max_new_tokens,
         "temperature": config.temperature,

@@ -49,6 +49,8 @@ def run_prepare(
     if key is None:
         key = "doc_key"
         rows = with_row_key(rows, key)
+    elif fmt == "csv":
+        rows = write_once(rows, "rows")  # the split reads its input three times
     labels = write_once(label_map(rows, config.label), "labels")
     split = write_once(per_class_split(rows, config.label, key, config.val_frac, config.seed), "split")
     stats = split_stats(split, config.label)

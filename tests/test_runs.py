@@ -107,7 +107,7 @@ def test_rewrite_run(spark, notes, tmp_path):
     mean = sum(int(r.len_chars_before) for r in rows) / 60
     assert recap.metrics_means.before.len_chars == round(mean, 3)
     saved = json.loads("".join(open(p).read() for p in glob.glob(recap_path + "/part-*")))
-    assert saved["rewrite"]["model"] == "toy" and saved["n_rows"] == 60
+    assert saved["rewrite"]["llm_model"] == "toy" and saved["n_rows"] == 60
 
 
 @pytest.mark.parametrize("do_chunk", [False, True])

@@ -131,6 +131,9 @@ def test_long_whitespace_runs_stay_linear(one_column):
     assert one_column(text.strip, [junk]) == [junk]
     assert one_column(text.count_sections, [junk]) == [1]
     assert one_column(text.count_sentences, [junk]) == [2]
+    edges = "\n" * 300_000 + "a" + "\n" * 300_000
+    assert one_column(text.count_sections, [edges, "\n" * 300_000]) == [1, 0]
+    assert one_column(text.normalize_text, [edges]) == ["a"]
 
 
 def test_whitespace_class_is_pythons(one_column):
