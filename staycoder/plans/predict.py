@@ -24,7 +24,7 @@ from staycoder.operators.pooling import pool_chunks, pool_logits
 from staycoder.operators.rewriting import RewriteConfig, rewrite
 from staycoder.operators.scoring import generate_codes, label_predictions, score
 from staycoder.sources.documents import as_documents, read_table
-from staycoder.sources.shared import with_row_key, write_once
+from staycoder.sources.shared import spread, with_row_key, write_once
 from staycoder.sources.sinks import prediction_output, write_table
 
 Step = Callable[[DataFrame], DataFrame]
@@ -191,7 +191,7 @@ def run_predict(
             table.withColumn(KEY, F.col(key)), col_text, gold, col_patient, col_stay, keep=(KEY,)
         )
     require_rows(documents, f"no document in {input_path}")
-    predicted = documents.transform(build(config))
+    predicted = spread(documents, KEY).transform(build(config))
     phases = {"before": "metrics_before", "after": "metrics_after"} if config.measures else None
     output = prediction_output(predicted, "pred", out_stay, out_pred, phases)
     # counted while writing: no second pass, and no model runs twice

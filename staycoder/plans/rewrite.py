@@ -13,7 +13,7 @@ from staycoder.operators.checks import require_columns
 from staycoder.operators.metrics import flat_metrics, recap_from_sums, recap_sums
 from staycoder.operators.rewriting import RewriteConfig, rewrite
 from staycoder.sources.documents import read_table
-from staycoder.sources.shared import write_once
+from staycoder.sources.shared import spread, write_once
 from staycoder.sources.sinks import recap_json, write_json_row, write_table
 
 
@@ -58,7 +58,7 @@ def run_rewrite(
     fmt: str = "csv",
 ) -> DataFrame:
     """Read, rewrite, write the dataset and its recap; returns the one-row recap."""
-    table = read_table(spark, input_path, fmt)
+    table = spread(read_table(spark, input_path, fmt))
     step = lambda df: rewrite(df, config, model_factory)
     result = rewrite_dataset(table, text, out_text, step, sampled=model_factory is not None)
     observed = Observation("recap")

@@ -11,7 +11,7 @@ from staycoder.functions import fixed
 from staycoder.operators.chunking import WindowConfig, first_window, labelled_chunks
 from staycoder.operators.splitting import class_weights, label_map, per_class_split, split_stats
 from staycoder.sources.documents import read_table, training_rows
-from staycoder.sources.shared import with_row_key, write_once
+from staycoder.sources.shared import spread, with_row_key, write_once
 from staycoder.sources.sinks import label_map_json, split_stats_json, write_json_row, write_table
 
 
@@ -54,7 +54,7 @@ def run_prepare(
     labels = write_once(label_map(rows, config.label), "labels")
     split = write_once(per_class_split(rows, config.label, key, config.val_frac, config.seed), "split")
     stats = split_stats(split, config.label)
-    windows = training_table(split, labels, config, [key, "split"])
+    windows = training_table(spread(split, key), labels, config, [key, "split"])
     train = split.where("split = 'train'")
 
     sizes = {}

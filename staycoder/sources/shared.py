@@ -45,12 +45,14 @@ def with_row_key(df: DataFrame, key: str = "doc_key") -> DataFrame:
     return write_once(df.withColumn(key, F.monotonically_increasing_id()), "rows")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan by its row key if it has fewer partitions than the cluster has cores.
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Repartition a scan if it has fewer partitions than the cluster has cores.
 
     Text work is heavy per byte, and a small or unsplittable file would otherwise be one task.
-    On large inputs the scan already has enough partitions and nothing is shuffled. The key layout
-    also serves a later grouping by the same key.
+    On large inputs the scan already has enough partitions and nothing is shuffled. With the row
+    key given, its hash layout also serves a later grouping by that key.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key) if key else df.repartition(cores)
