@@ -98,10 +98,10 @@ def labelled_chunks(
 
     `labels` (label, label_id) should be a stored table, see `sources.shared`.
     """
-    windows = add_chunks(df.select(*keep, text, label), F.col(text), config)
-    rows = explode_chunks(windows, [*keep, label], fallback=F.lit(""))
     ids = labels.select(F.col("label").alias(label), "label_id")
-    return rows.join(ids, label, "left")
+    documents = df.select(*keep, text, label).join(ids, label, "left")
+    windows = add_chunks(documents, F.col(text), config)
+    return explode_chunks(windows, [*keep, label, "label_id"], fallback=F.lit(""))
 
 
 def first_window(

@@ -63,7 +63,8 @@ def first_token_mean(
 
 def _component_medians(chunks: DataFrame, doc: str, value: str, carry: list[str]) -> DataFrame:
     """Exact median per component. Values are ranked per (document, component) by a sort that can
-    spill, so the components of a long document go to different tasks and none is held in memory."""
+    spill, so the components of a long document go to different tasks and none is held in memory.
+    A group is no larger than the number of windows that one note's text can give."""
     component = Window.partitionBy(doc, "_i")
     values = chunks.select(doc, *carry, F.posexplode_outer(as_array(chunks, value)).alias("_i", "_x"))
     values = values.where("_i is not null")

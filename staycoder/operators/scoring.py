@@ -2,11 +2,12 @@
 
 A model factory takes no argument and returns a callable `list of inputs -> sequence of outputs`
 (with `seed`, the callable also gets a numpy random generator as second argument). The factory
-runs once per task; load weights there, not per batch.
+runs once per Python worker and scoring step, not per task or batch; load weights there.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -35,13 +36,27 @@ def score(
     using it twice. Make the result a column of its own before computing with it.
     """
     size = max(1, int(batch_size))
+    step_id, kept_models = uuid.uuid4().hex, 2
+
+    def load():
+        """The step's model, kept for the later tasks of a reused worker; the oldest ones make room."""
+        import sys
+        import types
+
+        store = sys.modules.setdefault("_staycoder_models", types.ModuleType("_staycoder_models"))
+        models = store.__dict__.setdefault("models", {})
+        if step_id not in models:
+            while len(models) >= kept_models:
+                del models[next(iter(models))]
+            models[step_id] = model_factory()
+        return models[step_id]
 
     def run(batches):
         import numpy as np
         import pandas as pd
         from pyspark import TaskContext
 
-        model = model_factory()
+        model = load()
         extra = ()
         if seed is not None:
             extra = (np.random.default_rng([seed, TaskContext.get().partitionId()]),)

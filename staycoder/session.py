@@ -14,6 +14,8 @@ def build_session(
         "spark.sql.session.timeZone": "UTC",
         # vectors are pooled in object aggregates: keep them hashed beyond 128 groups per task
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
+        # notes and prompts can be long: hand them to plugged-in models in smaller Arrow batches
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
         **(conf or {}),
     }
     builder = SparkSession.builder.appName(app)

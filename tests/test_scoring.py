@@ -18,20 +18,27 @@ def test_batches_span_documents_and_skip_nulls(spark):
     assert got == ["4:t0", "4:t1", "4:t2", None, "4:t4", "3:t5", "3:t6", "3:t7"]
 
 
-def test_factory_runs_once_per_task_and_seed_is_stable(spark):
+def test_a_worker_loads_its_model_once(spark):
     def factory():
-        calls = []
+        import os
+        import uuid
 
-        def model(batch, rng):
-            calls.append(1)
-            return [float(rng.random()) + 10 * len(calls) for _ in batch]
+        instance = uuid.uuid4().hex
+        return lambda batch: [f"{os.getpid()} {instance}" for _ in batch]
 
-        return model
+    rows = spark.range(0, 640, 1, 64)
+    seen = {tuple(r.o.split()) for r in rows.select(score(F.col("id"), factory, "string").alias("o")).collect()}
+    assert len(seen) == len({pid for pid, _ in seen}) < 64
+
+
+def test_seeded_draws_repeat_per_partition(spark):
+    def factory():
+        return lambda batch, rng: [float(rng.random()) for _ in batch]
 
-    rows = spark.range(0, 40, 1, 2)
-    draw = lambda: [r.o for r in rows.select(score(F.col("id"), factory, "double", 5, seed=3).alias("o")).collect()]
-    first = draw()
-    assert first == draw() and max(first) < 50 and len({round(v % 10, 9) for v in first}) == 40
+    rows = spark.range(0, 40, 1, 4)
+    draw = lambda seed: [r.o for r in rows.select(score(F.col("id"), factory, "double", 5, seed).alias("o")).collect()]
+    first = draw(3)
+    assert first == draw(3) != draw(4) and len(set(first)) == 40
 
 
 def test_a_model_must_answer_every_input(spark):
