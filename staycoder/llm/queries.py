@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from staycoder.llm.jaccard_join import jaccard_groups
 from staycoder.llm.suffix_dedup import remove_repeats
+from staycoder.llm.token_output import token_index, write_tokens
+from staycoder.sources.shared import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +25,24 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """TOKENIZER_DIR if set, else the folder of the public_tokenizers package, which all hosts have."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_index(spark, path)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op7_jaccard_join": op7_jaccard_join,
+    "op10_token_output": op10_token_output,
 }
