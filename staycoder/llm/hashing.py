@@ -107,6 +107,17 @@ def words(data: np.ndarray, offsets: np.ndarray):
     return hashes, np.searchsorted(start, offsets)
 
 
+def by_owner(owner: np.ndarray) -> np.ndarray:
+    """Stable order of small non-negative integers (a radix sort while they fit in 16 bits)."""
+    small = not len(owner) or owner.max() < 1 << 16
+    return np.argsort(owner.astype(np.uint16) if small else owner, kind="stable")
+
+
+def by_owner_and_value(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+    order = np.argsort(values)
+    return order[by_owner(owner[order])]
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5):
     """Distinct `width`-word shingles per text, ascending: (shingle hashes, offsets, shingle counts).
 
@@ -127,7 +138,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5):
         word = hashes[np.minimum(start + k, max(len(hashes) - 1, 0))] if len(hashes) else values
         values = np.where(use, values * BASE + word, values)
     values = mix(values + length.astype(np.uint64))
-    order = np.lexsort((values, owner))
+    order = by_owner_and_value(owner, values)
     owner, values = owner[order], values[order]
     keep = np.ones(total, dtype=bool)
     keep[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])

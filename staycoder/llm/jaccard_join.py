@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staycoder.llm.components import components
-from staycoder.llm.hashing import buffers, mix, shingles, words
+from staycoder.llm.hashing import buffers, by_owner, mix, shingles, words
 from staycoder.sources.shared import write_once
 
 HEAVY_SHARE = 0.0005  # a shingle of more than this share of the documents goes to the end of the order
@@ -48,13 +48,13 @@ def _frequent(width: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _slices(batches):
             data, offsets = buffers(batch.column("text"))
             values, _, _ = shingles(*words(data, offsets), width)
             values = np.sort(values)
             edge = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True])))
             count = np.diff(edge)
-            often = count >= max(3, HEAVY_SHARE * batch.num_rows)
+            often = count >= max(2, HEAVY_SHARE * batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(values[edge[:-1][often]].view(np.int64)), pa.array(count[often])],
                 names=["shingle", "n"],
@@ -86,14 +86,19 @@ def _sets(width: int, prefix_percent: int, heavy: np.ndarray):
     def run(batches):
         import pyarrow as pa
 
+        slot = np.uint64((1 << 22) - 1)
+        table = np.zeros(1 << 22, dtype=bool)
+        table[(heavy & slot).astype(np.int64)] = True
         for batch in _slices(batches):
             data, offsets = buffers(batch.column("text"))
             values, first, n = shingles(*words(data, offsets), width)
             one = np.concatenate(([np.uint64(0)], np.cumsum(mix(values))))
             two = np.concatenate(([np.uint64(0)], np.cumsum(mix(values ^ np.uint64(0x5851F42D4C957F2D)))))
             owner = np.repeat(np.arange(len(n)), n)
-            late = np.isin(values, heavy) if len(heavy) else np.zeros(len(values), dtype=bool)
-            order = np.lexsort((values, late, owner))
+            late = table[(values & slot).astype(np.int64)]
+            at = np.flatnonzero(late)
+            late[at] = heavy[np.minimum(np.searchsorted(heavy, values[at]), len(heavy) - 1)] == values[at]
+            order = by_owner(2 * owner + late)
             rank = np.arange(len(values)) - first[owner]
             length = n - -(-prefix_percent * n // 100) + 1
             use = rank < length[owner]
