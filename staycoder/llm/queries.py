@@ -7,9 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from staycoder.llm.arc_to_warc import convert, read_arc, warc_index, write_arc
 from staycoder.llm.jaccard_join import jaccard_groups
 from staycoder.llm.suffix_dedup import remove_repeats
 from staycoder.llm.token_output import token_index, write_tokens
+from staycoder.llm.topk import exact_topk
 from staycoder.sources.shared import shared_folder
 
 
@@ -21,6 +23,18 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a legacy archive, converted to WARC, and the index read back from the WARC files."""
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_arc(_table(spark, sf_dir, "pages"), f"{folder}/arc", version=2)
+    convert(read_arc(spark, f"{folder}/arc"), f"{folder}/warc")
+    return warc_index(spark, f"{folder}/warc")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +57,8 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op5_exact_topk": op5_exact_topk,
+    "op6_warc": op6_warc,
     "op7_jaccard_join": op7_jaccard_join,
     "op10_token_output": op10_token_output,
 }
