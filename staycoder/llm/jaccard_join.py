@@ -92,8 +92,7 @@ def _sets(width: int, prefix_percent: int, heavy: np.ndarray):
         for batch in _slices(batches):
             data, offsets = buffers(batch.column("text"))
             values, first, n = shingles(*words(data, offsets), width)
-            one = np.concatenate(([np.uint64(0)], np.cumsum(mix(values))))
-            two = np.concatenate(([np.uint64(0)], np.cumsum(mix(values ^ np.uint64(0x5851F42D4C957F2D)))))
+            h1, h2 = _fingerprints(values, first)
             owner = np.repeat(np.arange(len(n)), n)
             late = table[(values & slot).astype(np.int64)]
             at = np.flatnonzero(late)
@@ -113,8 +112,8 @@ def _sets(width: int, prefix_percent: int, heavy: np.ndarray):
                     batch.column("id"),
                     batch.column("text_key"),
                     pa.array(n),
-                    pa.array((one[first[1:]] - one[first[:-1]]).view(np.int64)),
-                    pa.array((two[first[1:]] - two[first[:-1]]).view(np.int64)),
+                    pa.array(h1),
+                    pa.array(h2),
                     prefix,
                     pa.array(maps, pa.binary()),
                 ],
@@ -124,6 +123,28 @@ def _sets(width: int, prefix_percent: int, heavy: np.ndarray):
     return run
 
 
+def _fingerprints(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit fingerprints of each set: sums over its values."""
+    one = np.concatenate(([np.uint64(0)], np.cumsum(mix(values))))
+    two = np.concatenate(([np.uint64(0)], np.cumsum(mix(values ^ np.uint64(0x5851F42D4C957F2D)))))
+    return (one[first[1:]] - one[first[:-1]]).view(np.int64), (two[first[1:]] - two[first[:-1]]).view(np.int64)
+
+
+def _identities(width: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in _slices(batches):
+            values, first, n = shingles(*words(*buffers(batch.column("text"))), width)
+            h1, h2 = _fingerprints(values, first)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("text_key"), pa.array(n), pa.array(h1), pa.array(h2)],
+                names=["id", "text_key", "n", "h1", "h2"],
+            )
+
+    return run
+
+
 def _possible(percent: int):
     """Keep the pairs whose bitmaps allow 100 * intersection >= percent * union."""
 
@@ -173,7 +194,9 @@ def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
     maps = classes.select("id", "n", "bitmap")
     bounded = pairs.join(maps.toDF("a", "na", "xa"), "a").join(maps.toDF("b", "nb", "xb"), "b")
     bounded = bounded.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_possible(percent), "a long, b long")
-    with_texts = bounded.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    # stored, so that its size is known: a short list of pairs is broadcast instead of shuffling the texts
+    bounded = write_once(bounded, "possible-pairs")
+    with_texts = texts.toDF("b", "text_b").join(bounded, "b").join(texts.toDF("a", "text_a"), "a")
     return with_texts.select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, percent), "a long, b long")
 
 
@@ -199,20 +222,23 @@ def jaccard_groups(
     heavy = counted.where(F.col("n") > HEAVY_SHARE * total).orderBy(F.desc("n"), "shingle").limit(HEAVY_AT_MOST)
     heavy = np.sort(np.array([r[0] for r in heavy.select("shingle").collect()], dtype=np.int64)).view(np.uint64)
 
-    sets = rows.mapInArrow(
-        _sets(width, percent, heavy), "id long, text_key long, n long, h1 long, h2 long, prefix array<long>, bitmap binary"
+    # one narrow row per text, and one wide row per class; neither is written twice
+    full = rows.mapInArrow(
+        _sets(width, percent, heavy),
+        "id long, text_key long, n long, h1 long, h2 long, prefix array<long>, bitmap binary",
     )
-    sets = write_once(sets, "shingle-sets")
-    identity = ["n", "h1", "h2"]
-    least = sets.where("n > 0").groupBy(*identity).agg(F.min("id").alias("least"))
-    # classes are numbered by their set's fingerprint; a clash of two sets would need equal 64-bit sums
+    # classes are numbered by their set's fingerprint h1; n and h2 confirm it when rows are named
     classes = (
-        sets.where("n > 0")
+        full.where("n > 0")
         .groupBy("h1")
         .agg(F.max("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
         .withColumnRenamed("h1", "id")
     )
     classes = write_once(classes, "shingle-classes")
+    sets = rows.mapInArrow(_identities(width), "id long, text_key long, n long, h1 long, h2 long")
+    sets = write_once(sets, "shingle-sets")
+    identity = ["n", "h1", "h2"]
+    least = sets.where("n > 0").groupBy(*identity).agg(F.min("id").alias("least"))
 
     band = F.floor(F.log2("n") / 2)
     postings = classes.select(
@@ -220,24 +246,26 @@ def jaccard_groups(
     )
     postings = postings.select(
         "id", "n", F.explode(F.when(F.col("low") == F.col("high"), F.array("low")).otherwise(F.array("low", "high"))).alias("band"), "shingle"
-    ).select("id", "n", F.xxhash64("shingle", "band").alias("tile"))
+    ).select("id", F.xxhash64("shingle", "band").alias("tile"))
     tiles = postings.groupBy("tile").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("leader")).where("k > 1")
+    sizes = classes.select("id", "n")
     members = write_once(postings.join(tiles.select("tile", "leader"), "tile"), "tiles")
 
-    sizes = classes.select("id", "n")
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    led = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    led = led.distinct().join(sizes.toDF("a", "na"), "a").where(fits).select("a", "b")
-    wanted = led
+    led = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    led = led.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(fits).select("a", "b")
     # texts of classes that occur in a tile with another one: the only ones that can be verified
     ids = members.select("id").distinct()
-    home = sets.where("n > 0").groupBy(F.col("h1").alias("id")).agg(F.min("text_key").alias("text_key"))
-    texts = rows.select("text_key", "text").join(home.join(ids, "id"), "text_key")
-    texts = write_once(texts.groupBy("id").agg(F.min("text").alias("text")), "tile-texts")
-    links = write_once(_verify(wanted, classes, texts, width, percent), "links")
+    none = F.lit(-(2**63))
+    home = sets.where("n > 0").groupBy("h1").agg(F.min(F.struct(F.coalesce("id", none).alias("doc"), "text_key")).alias("home"))
+    home = home.join(ids, home.h1 == ids.id, "left_semi").select(F.col("h1").alias("id"), "home.doc", "home.text_key")
+    texts = rows.select(F.coalesce("id", none).alias("doc"), "text_key", "text").join(home, ["doc", "text_key"])
+    texts = texts.groupBy("doc", "text_key").agg(F.first("id").alias("id"), F.first("text").alias("text"))
+    texts = write_once(texts.select("id", "text"), "tile-texts")
+    links = write_once(_verify(led, classes, texts, width, percent), "links")
     label = components(links)
     for partners in (8, None):
-        now = members.select("tile", "id", "n").join(label.withColumnRenamed("node", "id"), "id", "left")
+        now = members.select("tile", "id").join(sizes, "id").join(label.withColumnRenamed("node", "id"), "id", "left")
         now = now.select("tile", "id", "n", F.coalesce("component", "id").alias("comp"))
         mixed = now.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tile")
         now = now.join(mixed, "tile")
