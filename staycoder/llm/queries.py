@@ -5,13 +5,16 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from staycoder.llm.arc_to_warc import convert, read_arc, warc_index, write_arc
 from staycoder.llm.jaccard_join import jaccard_groups
+from staycoder.llm.mixing import MixConfig, mix
 from staycoder.llm.suffix_dedup import remove_repeats
 from staycoder.llm.token_output import token_index, write_tokens
 from staycoder.llm.topk import exact_topk
+from staycoder.llm.toxicity import toxicity
 from staycoder.sources.shared import shared_folder
 
 
@@ -23,6 +26,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "p_quality", "p_toxic", "is_toxic")
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(_table(spark, sf_dir, "embeddings"))
 
@@ -49,6 +57,26 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def source_domain(source: str = "source") -> Column:
+    """The first ten sources are the web, the others curated collections."""
+    number = F.regexp_extract(source, r"([0-9]+)$", 1)
+    return F.when((number != "") & (F.length(number) == 1), "web").otherwise("curated")
+
+
+#: Half of all tokens; curated sources and the smaller languages count for more than they hold.
+MIX = MixConfig(
+    weights={("web",): 0.55, ("curated",): 0.45}
+    | {(d, lang): w for d in ("web", "curated") for lang, w in (("en", 5.0), ("de", 2.0), ("fr", 2.0), ("es", 1.0))},
+    share=0.5,
+    max_epochs=3,
+)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(_table(spark, sf_dir, "documents"), MIX, {"domain": source_domain()})
+    return mixed.select("doc_id", source_domain().alias("domain"), "lang", "source", "mix_epoch", "mix_tokens")
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -57,8 +85,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_toxicity": op3_toxicity,
     "op5_exact_topk": op5_exact_topk,
     "op6_warc": op6_warc,
     "op7_jaccard_join": op7_jaccard_join,
+    "op9_mixing": op9_mixing,
     "op10_token_output": op10_token_output,
 }

@@ -17,6 +17,7 @@ task encodes a piece once.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -24,11 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PIECES_KEPT = 1_000_000  # distinct pieces whose ids a task remembers before it starts anew
-SLICE_BYTES = 8 << 20
+PIECES_KEPT = 300_000  # distinct pieces whose ids a worker remembers before it starts anew
+SLICE_BYTES = 3 << 20
 
 
 def load_tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -45,12 +47,23 @@ class Encoder:
         self.pieces = pieces
         self._forget()
 
+    @staticmethod
+    def of_worker(path: str, pieces: bool = True) -> "Encoder":
+        """The Python worker's encoder, kept for its later tasks."""
+        import sys
+        import types
+
+        kept = sys.modules.setdefault("_staycoder_encoders", types.ModuleType("_staycoder_encoders")).__dict__
+        if (path, pieces) != kept.get("made_for"):
+            kept["encoder"], kept["made_for"] = Encoder(path, pieces), (path, pieces)
+        return kept["encoder"]
+
     def _forget(self):
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, dtype=np.int32)
         self.starts = np.zeros(1, dtype=np.int64)
 
-    def _ids(self, texts: list[str], at_once: int = 20_000):
+    def _ids(self, texts: list[str], at_once: int = 4_000):
         """(ids one after another, number of ids of each text)."""
         flat, n = [np.zeros(0, dtype=np.int32)], []
         for i in range(0, len(texts), at_once):
@@ -102,7 +115,7 @@ def _tokenize(path: str, end_id: int, pieces: bool):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, part = Encoder(path, pieces), TaskContext.get().partitionId()
+        encoder, part = Encoder.of_worker(path, pieces), TaskContext.get().partitionId()
         row_no = start = 0
         for batch in batches:
             for rows in _slices(batch, SLICE_BYTES):
