@@ -80,20 +80,23 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_MARKS = _SPACE.copy()  # ASCII other than letters and digits
+_MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray):
+def words(data: np.ndarray, offsets: np.ndarray, marks: bool = False):
     """Words [^\\x20\\x09-\\x0D]+ of each text, A-Z lower-cased: (64-bit fingerprints, first word of each text).
 
     The second array has one entry more than there are texts; text i has words first[i]:first[i + 1].
+    With `marks`, ASCII marks separate words too.
     """
     n = len(data)
     n_texts = len(offsets) - 1
     if n == 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(n_texts + 1, dtype=np.int64)
-    inside = ~_SPACE[data]
+    inside = ~(_MARKS if marks else _SPACE)[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True  # words end where a text ends
     begins = inside.copy()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staycoder.llm.arc_to_warc import convert, read_arc, warc_index, write_arc
+from staycoder.llm.decontamination import leaks
 from staycoder.llm.jaccard_join import jaccard_groups
 from staycoder.llm.mixing import MixConfig, mix
 from staycoder.llm.suffix_dedup import remove_repeats
@@ -57,6 +58,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def source_domain(source: str = "source") -> Column:
     """The first ten sources are the web, the others curated collections."""
     number = F.regexp_extract(source, r"([0-9]+)$", 1)
@@ -89,6 +94,7 @@ QUERIES = {
     "op5_exact_topk": op5_exact_topk,
     "op6_warc": op6_warc,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
     "op10_token_output": op10_token_output,
 }
