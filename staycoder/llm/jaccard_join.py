@@ -8,7 +8,8 @@
    and sizes in the same band (factor 4, with an overlap of 1/t, so that no pair falls between).
 3. Round one compares every class of a tile with the tile's leader only, which is linear. Later rounds
    compare the classes of a tile that are not yet connected, so a group of thousands of near
-   copies never becomes all its pairs. No pair that could join two components is left out.
+   copies never becomes all its pairs. A pair goes on if the tiles it shares allow the threshold;
+   no pair that could join two components is left out.
 4. A pair is first bounded: a bitmap has the parity of the hashes that fall on each bit, so two sets
    differ in at least as many shingles as their bitmaps differ in bits. What can still reach t is
    verified by intersecting the sorted shingle arrays.
@@ -27,6 +28,7 @@ from staycoder.llm.hashing import buffers, by_owner, mix, shingles, words
 from staycoder.sources.shared import write_once
 
 HEAVY_SHARE = 0.0005  # a shingle of more than this share of the documents goes to the end of the order
+FIRST_PARTNERS = 8
 HEAVY_AT_MOST = 200_000  # how many of those are told to the tasks (1.6 MB); the order never affects results
 
 
@@ -264,19 +266,28 @@ def jaccard_groups(
     texts = write_once(texts.select("id", "text"), "tile-texts")
     links = write_once(_verify(led, classes, texts, width, percent), "links")
     label = components(links)
-    for partners in (8, None):
-        now = members.select("tile", "id").join(sizes, "id").join(label.withColumnRenamed("node", "id"), "id", "left")
-        now = now.select("tile", "id", "n", F.coalesce("component", "id").alias("comp"))
-        mixed = now.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tile")
-        now = now.join(mixed, "tile")
-        left, right = now.toDF("tile", "a", "na", "ca"), now.toDF("tile", "b", "nb", "cb")
-        pairs = left.join(right, "tile").where("ca < cb").where(fits).select("a", "b", "cb").distinct()
-        if partners:  # first a few for each class and other component, which mostly settles it
-            order = Window.partitionBy("a", "cb").orderBy(F.xxhash64("a", "b"))
-            pairs = pairs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= partners)
-        found = write_once(_verify(pairs.select("a", "b"), classes, texts, width, percent), "links")
-        links = links.unionByName(found)
-        label = components(links)
+    # pairs of a tile that are not connected yet; all common prefix shingles up to the end of the shorter
+    # prefix are tiles of both, so what else the sets share lies behind that prefix
+    now = members.select("tile", "id").join(sizes, "id").join(label.withColumnRenamed("node", "id"), "id", "left")
+    now = now.select("tile", "id", "n", F.coalesce("component", "id").alias("comp"))
+    mixed = now.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tile")
+    now = now.join(mixed, "tile")
+    left, right = now.toDF("tile", "a", "na", "ca"), now.toDF("tile", "b", "nb", "cb")
+    met = left.join(right, "tile").where("ca < cb").where(fits)
+    met = met.groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.count(F.lit(1)).alias("met"))
+    behind = f"greatest(ceil({percent} * na / 100), ceil({percent} * nb / 100)) - 1"
+    met = met.withColumn("most", F.expr(f"least(na, nb, met + {behind})")).where(f"100 * most >= {percent} * (na + nb - most)")
+    order = Window.partitionBy("a", "cb").orderBy(F.desc("met"), F.xxhash64("a", "b"))
+    pairs = write_once(met.withColumn("k", F.row_number().over(order)).select("a", "b", "ca", "cb", "k"), "cross-pairs")
+    # first a few for each class and other component, which mostly settles it; then all that is still open
+    first = pairs.where(F.col("k") <= FIRST_PARTNERS).select("a", "b")
+    links = links.unionByName(write_once(_verify(first, classes, texts, width, percent), "links"))
+    label = components(links)
+    rest = pairs.where(F.col("k") > FIRST_PARTNERS)
+    rest = rest.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left")
+    rest = rest.where(~F.coalesce("la", "a").eqNullSafe(F.coalesce("lb", "b"))).select("a", "b")
+    links = links.unionByName(write_once(_verify(rest, classes, texts, width, percent), "links"))
+    label = components(links)
 
     named = least.withColumnRenamed("h1", "node").join(label, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
