@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PIECES_KEPT = 300_000  # distinct pieces whose ids a worker remembers before it starts anew
+PIECES_KEPT = 1_000_000  # distinct pieces whose ids a worker remembers before it starts anew
 SLICE_BYTES = 3 << 20
 
 
