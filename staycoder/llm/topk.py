@@ -127,7 +127,7 @@ def exact_topk(
     q_blocks, n_q = blocks(queries, "queries", "q")
     c_blocks, _ = blocks(rows, "rows", "c")
     tiles = c_blocks.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).join(q_blocks, "q")
-    found = tiles.select("queries", "rows").mapInArrow(_tiles(k), "query_id long, vec_id long, score long")
+    found = tiles.repartition("q", "c").select("queries", "rows").mapInArrow(_tiles(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
