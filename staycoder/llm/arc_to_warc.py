@@ -26,6 +26,8 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staycoder.sources.shared import write_once
+
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
@@ -81,47 +83,50 @@ class _Stream:
     """Lines and stretches of declared length from a gzipped or plain file held as bytes."""
 
     def __init__(self, name: str, raw):
-        self.name, self.raw, self.at, self.place, self.left = name, memoryview(raw), 0, 0, b""
+        self.name, self.raw, self.at = name, memoryview(raw), 0
+        self.buffer, self.used = b"", 0  # unpacked bytes, and how many of them are taken
+        self.place = 0
         self.unpack = zlib.decompressobj(47) if bytes(self.raw[:2]) == b"\x1f\x8b" else None
 
     def _more(self) -> bool:
         if self.at >= len(self.raw):
             return False
-        part = self.raw[self.at : self.at + (1 << 20)]
-        self.at += len(part)
+        data = bytes(self.raw[self.at : self.at + (1 << 18)])
+        self.at += len(data)
+        parts = [self.buffer[self.used :]]
+        self.used = 0
         if self.unpack is None:
-            self.left += part
-            return True
-        data = bytes(part)
+            parts.append(data)
+            data = b""
         while data:
-            self.left += self.unpack.decompress(data)
+            parts.append(self.unpack.decompress(data))
             data = self.unpack.unused_data
             if data:
                 self.unpack = zlib.decompressobj(47)
+        self.buffer = b"".join(parts)
         return True
 
     def line(self) -> bytes | None:
         """The next line without its line feed; None at the end."""
-        seen = 0
-        while (end := self.left.find(b"\n", seen)) < 0:
-            seen = len(self.left)
+        while (end := self.buffer.find(b"\n", self.used)) < 0:
             if not self._more():
-                return None if not self.left else self.take(len(self.left))
-        out = self.take(end + 1)
-        return out[:-1]
+                rest = len(self.buffer) - self.used
+                return self.take(rest) if rest else None
+        return self.take(end + 1 - self.used)[:-1]
 
     def take(self, n: int) -> bytes:
-        parts, have = [self.left], len(self.left)
-        while have < n:
-            self.left = b""
+        parts, have = [], len(self.buffer) - self.used
+        while have < n:  # a long body is gathered in pieces
+            parts.append(self.buffer[self.used :])
+            n, self.place = n - have, self.place + have
+            self.buffer, self.used = b"", 0
             if not self._more():
-                raise ValueError(f"{self.name}: {n} bytes are declared at {self.place}, {have} are left")
-            parts.append(self.left)
-            have += len(self.left)
-        whole = b"".join(parts) if len(parts) > 1 else parts[0]
-        self.left = whole[n:]
+                raise ValueError(f"{self.name}: {n} bytes more are declared at {self.place}")
+            have = len(self.buffer)
+        parts.append(self.buffer[self.used : self.used + n])
+        self.used += n
         self.place += n
-        return whole[:n]
+        return parts[0] if len(parts) == 1 else b"".join(parts)
 
 
 def digest(data: bytes) -> str:
@@ -315,7 +320,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def warc_index(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every record."""
-    records = read_warc(spark, path).drop("payload", "uri")
+    records = write_once(read_warc(spark, path).drop("payload", "uri"), "warc-index")  # the files are read once
     responses = records.where("record_type = 'response'").select(
         F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to")
     )

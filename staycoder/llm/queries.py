@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from staycoder.llm.arc_to_warc import convert, read_arc, warc_index, write_arc
 from staycoder.llm.decontamination import leaks
 from staycoder.llm.jaccard_join import jaccard_groups
+from staycoder.llm.line_dedup import removed_lines
 from staycoder.llm.mixing import MixConfig, mix
+from staycoder.llm.pii import pii_digest
 from staycoder.llm.suffix_dedup import remove_repeats
 from staycoder.llm.token_output import token_index, write_tokens
 from staycoder.llm.topk import exact_topk
@@ -27,11 +29,19 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "p_quality", "p_toxic", "is_toxic")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_lines(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(_table(spark, sf_dir, "embeddings"))
 
@@ -90,7 +100,9 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
+    "op4_line_dedup": op4_line_dedup,
     "op5_exact_topk": op5_exact_topk,
     "op6_warc": op6_warc,
     "op7_jaccard_join": op7_jaccard_join,
