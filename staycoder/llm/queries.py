@@ -34,8 +34,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "p_quality", "p_toxic", "is_toxic")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, _table(spark, sf_dir, "labels")).select("doc_id", "p_quality", "p_toxic", "is_toxic")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
