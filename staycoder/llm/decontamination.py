@@ -6,7 +6,8 @@
    since idf only scales rows of the sketch. Tasks send buckets x sketch numbers each, summed by bucket.
 2. *Candidates.* Benchmark items become chunks of at most 32 words, texts windows of 48 words every
    16 words, so every chunk that occurs lies within some window. Both are sums of latent word
-   vectors, coordinates divided by the singular values. A chunk of n words makes up n/48 of a window that
+   vectors, coordinates divided by the singular values; the `skipped` strongest directions, which only tell
+   languages and frequent words apart, are left out. A chunk of n words makes up n/48 of a window that
    holds it, so pairs with a cosine of at least `cosine` * sqrt(n / 48) go on.
    All windows of all texts meet all items of the stated benchmark, in blocks.
 3. *Proof.* The item and the words around the window are compared by longest common subsequence. A
@@ -39,9 +40,10 @@ MATCH = "array<struct<item_id:long,lcs:double,cosine:double,answer:boolean>>"
 @dataclass(frozen=True)
 class LeakConfig:
     buckets: int = 1 << 14
-    sketch: int = 80
-    rank: int = 64
-    cosine: float = 0.55
+    sketch: int = 64
+    skipped: int = 8
+    rank: int = 48
+    cosine: float = 0.62
     copied: float = 0.8
     paraphrased: float = 0.6
     answer_words: int = 5
@@ -68,6 +70,18 @@ def _steps(first: np.ndarray):
     return np.repeat(first[:-1], n) + local * STEP, edges
 
 
+def _row_sums(table: np.ndarray, rows: np.ndarray, starts: np.ndarray, at_once: int = 8192) -> np.ndarray:
+    """Sums of table[rows] between consecutive starts, in parts small enough for the processor's cache."""
+    out = np.empty((len(starts), table.shape[1]), dtype=table.dtype)
+    ends = np.append(starts[1:], len(rows))
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + at_once, side="right")))
+        out[i:j] = np.add.reduceat(table.take(rows[starts[i] : ends[j - 1]], axis=0), starts[i:j] - starts[i], axis=0)
+        i = j
+    return out
+
+
 def _gaussian(config: LeakConfig) -> np.ndarray:
     return np.random.default_rng(config.seed).standard_normal((config.buckets, config.sketch), dtype=np.float32)
 
@@ -94,11 +108,11 @@ def _sketch(config: LeakConfig, text: str):
             pair = np.sort(passage * config.buckets + bucket)
             pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))]
             df += np.bincount(pair % config.buckets, minlength=config.buckets)
-            projected = np.add.reduceat(omega[bucket], starts, axis=0)
+            projected = _row_sums(omega, bucket, starts)
             order = np.argsort(bucket.astype(np.uint16 if config.buckets <= 1 << 16 else np.int64), kind="stable")
             ranked = bucket[order]
             heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-            total[ranked[heads]] += np.add.reduceat(projected[passage[order]], heads, axis=0)
+            total[ranked[heads]] += _row_sums(projected, passage[order], heads)
         used = np.flatnonzero(df)
         columns = [pa.array(used.astype(np.int32)), pa.array(df[used]), pa.array(np.full(len(used), 0) + 0)]
         columns[2] = pa.array(np.where(np.arange(len(used)) == 0, n_passages, 0))
@@ -128,9 +142,10 @@ def latent_words(docs: DataFrame, config: LeakConfig = LeakConfig(), text: str =
     sound = values > values.max() * 1e-10
     half = (idf[:, None] * y) @ (vectors[:, sound] / np.sqrt(values[sound]))
     left, singular, _ = np.linalg.svd(half, full_matrices=False)
-    keep = singular > singular[0] * 1e-8
-    rank = min(config.rank, int(keep.sum()))
-    out[bucket, :rank] = idf[:, None] * left[:, :rank] / singular[:rank]
+    found = int((singular > singular[0] * 1e-8).sum())
+    skipped = min(config.skipped, max(0, found - config.rank))
+    use = slice(skipped, min(found, skipped + config.rank))
+    out[bucket, : use.stop - use.start] = idf[:, None] * left[:, use] / singular[use]
     return out
 
 
@@ -169,23 +184,84 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
 
-def chunks(items: list[Item], table: np.ndarray):
-    """(item number, first word, share of a window, unit vectors) of the chunks of all items."""
-    number, at, share, vectors = [], [], [], []
-    for i, item in enumerate(items):
-        bucket = (np.array(item.words, dtype=np.uint64) & np.uint64(len(table) - 1)).astype(np.int64)
-        last = max(0, len(bucket) - CHUNK)
-        for start in sorted({*range(0, last, STEP), last}):
-            number.append(i)
-            at.append(start)
-            share.append(min(len(bucket), CHUNK) / WINDOW)
-            vectors.append(table[bucket[start : start + CHUNK]].sum(axis=0))
-    return np.array(number), np.array(at), np.array(share, dtype=np.float32), _unit(np.array(vectors)).astype(np.float32)
+SLACK = 8  # words by which an edited item may be out of place around a window
+ITEMS_AT_ONCE = 256
+
+
+class Block:
+    """Some items of the benchmark: their chunks as unit vectors, and which word is which of an item's words."""
+
+    def __init__(self, items: list[Item], table: np.ndarray):
+        self.items = items
+        number, at, share, vectors = [], [], [], []
+        for i, item in enumerate(items):
+            bucket = (np.array(item.words, dtype=np.uint64) & np.uint64(len(table) - 1)).astype(np.int64)
+            last = max(0, len(bucket) - CHUNK)
+            for start in sorted({*range(0, last, STEP), last}):
+                number.append(i)
+                at.append(start)
+                share.append(min(len(bucket), CHUNK) / WINDOW)
+                vectors.append(table[bucket[start : start + CHUNK]].sum(axis=0))
+        self.number, self.at = np.array(number), np.array(at)
+        self.share, self.vectors = np.array(share, dtype=np.float32), _unit(np.array(vectors)).astype(np.float32)
+        self.length = np.array([len(i.words) for i in items])
+        self.vocabulary = np.unique(np.array([w for i in items for w in i.words], dtype=np.uint64))
+        # slot 0: not a word of the item; slots count an item's distinct words, `times` how often each occurs
+        width = 1 + max(len(i.places) for i in items)
+        self.slot = np.zeros((len(items), len(self.vocabulary) + 1), dtype=np.int32)
+        self.times = np.zeros((len(items), width), dtype=np.int32)
+        for i, item in enumerate(items):
+            known = np.array(list(item.places), dtype=np.uint64)
+            self.slot[i, np.searchsorted(self.vocabulary, known)] = np.arange(1, len(known) + 1)
+            self.times[i, 1 : len(known) + 1] = [p.bit_count() for p in item.places.values()]
+
+    def coded(self, hashes: np.ndarray) -> np.ndarray:
+        """Each word's number in the vocabulary; others get the number after the last."""
+        place = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[place] == hashes, place, len(self.vocabulary))
+
+    def most(self, item: np.ndarray, coded: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Per pair, at least as many words as the item can have in common with the words begin:end."""
+        out = np.zeros(len(item), dtype=np.int64)
+        for i in range(0, len(item), 4096):
+            one, b, e = item[i : i + 4096], begin[i : i + 4096], end[i : i + 4096]
+            place = b[:, None] + np.arange(int((e - b).max()))
+            word = coded[np.minimum(place, len(coded) - 1)]
+            slot = np.where(place < e[:, None], self.slot[one[:, None], word], 0)
+            seen = np.zeros((len(one), self.times.shape[1]), dtype=bool)
+            seen[np.arange(len(one))[:, None], slot] = True
+            out[i : i + 4096] = (seen * self.times[one]).sum(axis=1)
+        return out
+
+
+def _windows(table: np.ndarray, hashes: np.ndarray, first: np.ndarray):
+    """(text number, first word, unit vector) of every window of every text."""
+    starts, edges = _steps(first)
+    sums = _row_sums(table, (hashes & np.uint64(len(table) - 1)).astype(np.int64), starts)
+    owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    whole = sums.copy()
+    for ahead in (1, 2):
+        same = np.flatnonzero(owner[ahead:] == owner[: len(owner) - ahead])
+        whole[same] += sums[same + ahead]
+    return owner, starts, _unit(whole).astype(np.float32)
 
 
 def _search(config: LeakConfig, text: str, items: list[Item], table: np.ndarray):
-    number, at, share_of, queries = chunks(items, table)
-    least = np.float32(config.cosine) * np.sqrt(share_of)
+    blocks = [Block(items[i : i + ITEMS_AT_ONCE], table) for i in range(0, len(items), ITEMS_AT_ONCE)]
+
+    def prove(block: Block, hashes: np.ndarray, owner, begin, end, item, near, found: list[dict]) -> None:
+        for doc, b, e, i, cosine in zip(owner.tolist(), begin.tolist(), end.tolist(), item.tolist(), near.tolist(), strict=True):
+            one = block.items[i]
+            known = found[doc].get(one.item_id)
+            if known and known["lcs"] == 1.0:
+                continue
+            span = hashes[b:e].tolist()
+            share = one.common(span) / len(one.words)
+            if share < config.paraphrased or (known and known["lcs"] >= share):
+                continue
+            answer = one.answered(span, config.answer_words)
+            if share >= config.copied or answer:
+                found[doc][one.item_id] = {"item_id": one.item_id, "lcs": share, "cosine": cosine, "answer": answer}
 
     def run(batches):
         import pyarrow as pa
@@ -195,34 +271,19 @@ def _search(config: LeakConfig, text: str, items: list[Item], table: np.ndarray)
             hashes, first = words(*buffers(batch.column(text)), marks=True)
             found: list[dict] = [{} for _ in range(batch.num_rows)]
             if len(hashes):
-                bucket = (hashes & np.uint64(config.buckets - 1)).astype(np.int64)
-                starts, edges = _steps(first)
-                sums = np.add.reduceat(table[bucket], starts, axis=0)
-                owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-                windows = sums.copy()
-                for ahead in (1, 2):
-                    same = np.flatnonzero(owner[ahead:] == owner[: len(owner) - ahead])
-                    windows[same] += sums[same + ahead]
-                windows = _unit(windows)
-                for block in range(0, len(windows), 4096):
-                    near = windows[block : block + 4096] @ queries.T
-                    rows, cols = np.nonzero(near >= least)
-                    for w, c in zip((rows + block).tolist(), cols.tolist(), strict=True):
-                        doc, item = int(owner[w]), items[number[c]]
-                        known = found[doc].get(item.item_id)
-                        if known and known["lcs"] == 1.0:
-                            continue
-                        begin = max(int(first[doc]), int(starts[w]) - int(at[c]) - STEP)
-                        end = min(int(first[doc + 1]), int(starts[w]) - int(at[c]) + len(item.words) + WINDOW)
-                        span = hashes[begin:end].tolist()
-                        share = item.common(span) / len(item.words)
-                        if share < config.paraphrased or (known and known["lcs"] >= share):
-                            continue
-                        answer = item.answered(span, config.answer_words)
-                        if share >= config.copied or answer:
-                            found[doc][item.item_id] = {
-                                "item_id": item.item_id, "lcs": share, "cosine": float(near[w - block, c]), "answer": answer,
-                            }
+                owner, starts, vectors = _windows(table, hashes, first)
+                for block in blocks:
+                    coded = block.coded(hashes)
+                    least = np.float32(config.cosine) * np.sqrt(block.share)
+                    for i in range(0, len(vectors), 4096):
+                        near = vectors[i : i + 4096] @ block.vectors.T
+                        row, chunk = np.nonzero(near >= least)
+                        cosine, row, item = near[row, chunk], row + i, block.number[chunk]
+                        begin = np.maximum(first[owner[row]], starts[row] - block.at[chunk] - SLACK)
+                        end = starts[row] - block.at[chunk] + STEP + block.length[item] + SLACK
+                        end = np.minimum(first[owner[row] + 1], np.maximum(end, begin))
+                        use = block.most(item, coded, begin, end) >= config.paraphrased * block.length[item]
+                        prove(block, hashes, owner[row[use]], begin[use], end[use], item[use], cosine[use], found)
             column = pa.array([[f[k] for k in sorted(f)] for f in found], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "_leaks"])
 

@@ -86,16 +86,18 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray, marks: bool = False):
+def words(data: np.ndarray, offsets: np.ndarray, marks: bool = False, prefix: int = 0):
     """Words [^\\x20\\x09-\\x0D]+ of each text, A-Z lower-cased: (64-bit fingerprints, first word of each text).
 
     The second array has one entry more than there are texts; text i has words first[i]:first[i + 1].
-    With `marks`, ASCII marks separate words too.
+    With `marks`, ASCII marks separate words too. With `prefix`, a third array has the fingerprints of the
+    words' first `prefix` bytes.
     """
     n = len(data)
     n_texts = len(offsets) - 1
     if n == 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(n_texts + 1, dtype=np.int64)
+        none = np.zeros(0, dtype=np.uint64)
+        return (none, np.zeros(n_texts + 1, dtype=np.int64)) + ((none,) if prefix else ())
     inside = ~(_MARKS if marks else _SPACE)[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True  # words end where a text ends
@@ -107,7 +109,10 @@ def words(data: np.ndarray, offsets: np.ndarray, marks: bool = False):
     stop = np.flatnonzero(ends) + 1
     sums = Running(_LOWER[data])
     hashes = mix(sums.of(start, stop) + (stop - start).astype(np.uint64))
-    return hashes, np.searchsorted(start, offsets)
+    first = np.searchsorted(start, offsets)
+    if not prefix:
+        return hashes, first
+    return hashes, first, mix(sums.of(start, np.minimum(stop, start + prefix)) + np.uint64(1 << 32))
 
 
 def by_owner(owner: np.ndarray) -> np.ndarray:

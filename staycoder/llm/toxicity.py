@@ -1,6 +1,7 @@
 """Toxicity by a classifier chain: one linear model per category, each fed the ones before.
 
-Words (runs of letters, digits and non-ASCII characters, A-Z lower-cased) are hashed to presence features.
+Words (runs of letters, digits and non-ASCII characters, A-Z lower-cased) and their first five bytes, which
+tell inflected forms, are hashed to presence features.
 A model takes the `features` buckets that a chi-square test finds most telling and is a logistic
 regression with a ridge penalty, solved by Newton steps. The categories are fitted in order; from the second
 on, a model also reads the probabilities of the earlier categories. Its training rows get those from
@@ -29,6 +30,9 @@ from staycoder.llm.hashing import buffers, words
 from staycoder.sources.shared import write_once
 
 
+STEM_BYTES = 5
+
+
 @dataclass(frozen=True)
 class ChainConfig:
     categories: tuple[str, ...] = ("quality", "toxic")
@@ -57,8 +61,9 @@ class Model:
 
 def presence(column, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of the distinct buckets of each text."""
-    hashes, first = words(*buffers(column), marks=True)
+    hashes, first, stems = words(*buffers(column), marks=True, prefix=STEM_BYTES)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    owner, hashes = np.concatenate([owner, owner]), np.concatenate([hashes, stems])
     pair = np.sort(owner * buckets + (hashes % np.uint64(buckets)).astype(np.int64))
     pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))] if len(pair) else pair
     return pair // buckets, pair % buckets
