@@ -7,9 +7,8 @@
    boilerplate seldom opens a tile. A tile holds the classes that have a prefix shingle in common
    and sizes in the same band (factor 4, with an overlap of 1/t, so that no pair falls between).
 3. Round one compares every class of a tile with the tile's leader only, which is linear. Later rounds
-   compare the classes of a tile that are not yet connected, so a group of thousands of near
-   copies never becomes all its pairs. A pair goes on if the tiles it shares allow the threshold;
-   no pair that could join two components is left out.
+   compare the classes of a tile that are not yet connected, in cells of bounded size, so a group of
+   thousands of near copies never becomes all its pairs. No pair that could join two components is left out.
 4. A pair is first bounded: a bitmap has the parity of the hashes that fall on each bit, so two sets
    differ in at least as many shingles as their bitmaps differ in bits. What can still reach t is
    verified by intersecting the sorted shingle arrays.
@@ -20,7 +19,7 @@ Null texts and texts without a word have the empty set, which is linked with not
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staycoder.llm.components import components
@@ -29,6 +28,7 @@ from staycoder.sources.shared import write_once
 
 HEAVY_SHARE = 0.0005  # a shingle of more than this share of the documents goes to the end of the order
 FIRST_PARTNERS = 8
+CELL_MEMBERS = 1024  # larger tiles are compared in square cells of so many rows a side; none is left out
 HEAVY_AT_MOST = 200_000  # how many of those are told to the tasks (1.6 MB); the order never affects results
 
 
@@ -66,8 +66,8 @@ def _frequent(width: int):
 
 
 def bitmap_bits(n: np.ndarray) -> np.ndarray:
-    """Bits of a set's bitmap: four per shingle of the largest set of its size band, at least 64."""
-    return np.maximum(64, 1 << (np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + 2))
+    """Bits of a set's bitmap: the next power of two that is twice its size at least, 64 or more."""
+    return np.maximum(64, 1 << (np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + 1))
 
 
 def parity_bitmap(values: np.ndarray, bits: int) -> bytes:
@@ -191,17 +191,84 @@ def _verified(width: int, percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are linked: bitmap bound, then exact intersection."""
-    maps = classes.select("id", "n", "bitmap")
-    bounded = pairs.join(maps.toDF("a", "na", "xa"), "a").join(maps.toDF("b", "nb", "xb"), "b")
-    bounded = bounded.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_possible(percent), "a long, b long")
-    # stored, so that its size is known: a short list of pairs is broadcast instead of shuffling the texts
-    bounded = write_once(bounded, "possible-pairs")
-    with_texts = texts.toDF("b", "text_b").join(bounded, "b").join(texts.toDF("a", "text_a"), "a")
+def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are linked, by exact intersection."""
+    with_texts = texts.toDF("b", "text_b").join(pairs, "b").join(texts.toDF("a", "text_a"), "a")
     return with_texts.select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, percent), "a long, b long")
 
 
+def cell_pairs(ids, n, comp, own, bitmaps: list[bytes], percent: int):
+    """(a, b, k) of the pairs of a cell, in different components, that may reach the threshold.
+
+    k ranks a's partners in one other component by their bound, from 1.
+    """
+    order = np.argsort(n, kind="stable")
+    ids, n, comp, own = ids[order], n[order], comp[order], own[order]
+    maps = [np.frombuffer(bitmaps[i], dtype=np.uint8) for i in order]
+    size = np.array([len(m) for m in maps])
+    same_part = own.min() == own.max()
+    last = np.searchsorted(n, n * 100 // percent, side="right")
+    out = [np.zeros((0, 4), dtype=np.int64)]
+    for small in np.unique(size):  # sizes ascend with n: a partner's map is as long or twice as long
+        rows = np.flatnonzero(size == small)
+        reach = np.arange(rows[0], int(last[rows].max()))
+        table = np.stack([fold(maps[j].tobytes(), int(small)) for j in reach]).view(np.uint64)
+        for i in rows.tolist():
+            j = np.arange(i + 1, last[i])
+            j = j[(comp[j] != comp[i]) & (same_part | (own[j] != own[i]))]
+            if not len(j):
+                continue
+            differ = np.bitwise_count(table[j - reach[0]] ^ table[i - reach[0]]).sum(axis=1, dtype=np.int64)
+            most = np.minimum((n[i] + n[j] - differ) // 2, n[i])
+            ok = 100 * most >= percent * (n[i] + n[j] - most)
+            if ok.any():
+                j, most = j[ok], most[ok]
+                out.append(np.column_stack([np.full(len(j), i), j, comp[j], most]))
+    found = np.concatenate(out)
+    found = found[np.lexsort((-found[:, 3], found[:, 2], found[:, 0]))]
+    new = np.ones(len(found), dtype=bool)
+    new[1:] = (found[1:, 0] != found[:-1, 0]) | (found[1:, 2] != found[:-1, 2])
+    start = np.maximum.accumulate(np.where(new, np.arange(len(found)), 0))
+    a, b = ids[found[:, 0]], ids[found[:, 1]]
+    return np.minimum(a, b), np.maximum(a, b), np.arange(len(found)) - start + 1
+
+
+def _cell_pairs(percent: int):
+    """Rows sorted by cell; a cell has at most about twice CELL_MEMBERS rows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def compared(table):
+            cell = table.column("cell").to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+            columns = [table.column(c).to_numpy() for c in ("id", "n", "comp", "own")]
+            maps = table.column("bitmap").to_pylist()
+            parts = [([], [], [])]
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if hi - lo > 1:
+                    parts.append(cell_pairs(*[c[lo:hi] for c in columns], maps[lo:hi], percent))
+            a, b, k = (np.concatenate([np.asarray(p[i], dtype=np.int64) for p in parts]) for i in range(3))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(k.astype(np.int32))], names=["a", "b", "k"])
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            if not table.num_rows:
+                continue
+            cell = table.column("cell").to_numpy()
+            cut = int(np.flatnonzero(cell == cell[-1])[0])  # the last cell may go on in the next batch
+            if cut:
+                yield compared(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None:
+            yield compared(held)
+
+    return run
+
+
 def jaccard_groups(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -251,7 +318,7 @@ def jaccard_groups(
     ).select("id", F.xxhash64("shingle", "band").alias("tile"))
     tiles = postings.groupBy("tile").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("leader")).where("k > 1")
     sizes = classes.select("id", "n")
-    members = write_once(postings.join(tiles.select("tile", "leader"), "tile"), "tiles")
+    members = write_once(postings.join(tiles, "tile"), "tiles")
 
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     led = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
@@ -264,29 +331,31 @@ def jaccard_groups(
     texts = rows.select(F.coalesce("id", none).alias("doc"), "text_key", "text").join(home, ["doc", "text_key"])
     texts = texts.groupBy("doc", "text_key").agg(F.first("id").alias("id"), F.first("text").alias("text"))
     texts = write_once(texts.select("id", "text"), "tile-texts")
-    links = write_once(_verify(led, classes, texts, width, percent), "links")
+    maps = classes.select("id", "n", "bitmap")
+    led = led.join(maps.toDF("a", "na", "xa"), "a").join(maps.toDF("b", "nb", "xb"), "b")
+    led = led.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_possible(percent), "a long, b long")
+    # stored, so that its size is known: a short list of pairs is broadcast instead of shuffling the texts
+    links = write_once(_verify(write_once(led, "possible-pairs"), texts, width, percent), "links")
     label = components(links)
-    # pairs of a tile that are not connected yet; all common prefix shingles up to the end of the shorter
-    # prefix are tiles of both, so what else the sets share lies behind that prefix
-    now = members.select("tile", "id").join(sizes, "id").join(label.withColumnRenamed("node", "id"), "id", "left")
-    now = now.select("tile", "id", "n", F.coalesce("component", "id").alias("comp"))
+    # members of tiles that hold several components, in cells of bounded size, compared by their bitmaps
+    now = members.select("tile", "id", "k").join(label.withColumnRenamed("node", "id"), "id", "left")
+    now = now.select("tile", "id", "k", F.coalesce("component", "id").alias("comp"))
     mixed = now.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tile")
-    now = now.join(mixed, "tile")
-    left, right = now.toDF("tile", "a", "na", "ca"), now.toDF("tile", "b", "nb", "cb")
-    met = left.join(right, "tile").where("ca < cb").where(fits)
-    met = met.groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.count(F.lit(1)).alias("met"))
-    behind = f"greatest(ceil({percent} * na / 100), ceil({percent} * nb / 100)) - 1"
-    met = met.withColumn("most", F.expr(f"least(na, nb, met + {behind})")).where(f"100 * most >= {percent} * (na + nb - most)")
-    order = Window.partitionBy("a", "cb").orderBy(F.desc("met"), F.xxhash64("a", "b"))
-    pairs = write_once(met.withColumn("k", F.row_number().over(order)).select("a", "b", "ca", "cb", "k"), "cross-pairs")
+    now = now.join(mixed, "tile").join(classes.select("id", "n", "bitmap"), "id")
+    parts = F.ceil(F.col("k") / CELL_MEMBERS)
+    own = F.pmod(F.xxhash64("id"), parts)
+    now = now.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    cell = F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other"))
+    cells = now.select(cell.alias("cell"), "id", "n", "comp", "own", "bitmap").repartition("cell").sortWithinPartitions("cell")
+    pairs = write_once(cells.mapInArrow(_cell_pairs(percent), "a long, b long, k int").dropDuplicates(["a", "b"]), "cross-pairs")
     # first a few for each class and other component, which mostly settles it; then all that is still open
     first = pairs.where(F.col("k") <= FIRST_PARTNERS).select("a", "b")
-    links = links.unionByName(write_once(_verify(first, classes, texts, width, percent), "links"))
+    links = links.unionByName(write_once(_verify(first, texts, width, percent), "links"))
     label = components(links)
     rest = pairs.where(F.col("k") > FIRST_PARTNERS)
     rest = rest.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left")
     rest = rest.where(~F.coalesce("la", "a").eqNullSafe(F.coalesce("lb", "b"))).select("a", "b")
-    links = links.unionByName(write_once(_verify(rest, classes, texts, width, percent), "links"))
+    links = links.unionByName(write_once(_verify(rest, texts, width, percent), "links"))
     label = components(links)
 
     named = least.withColumnRenamed("h1", "node").join(label, "node", "left")
