@@ -2,7 +2,7 @@
 
 Words (runs of letters, digits and non-ASCII characters, A-Z lower-cased) and their first five bytes, which
 tell inflected forms, are hashed to presence features.
-A model takes the `features` buckets that a chi-square test finds most telling and is a logistic
+A model takes the buckets that a chi-square test finds telling, at most `features`, and is a logistic
 regression with a ridge penalty, solved by Newton steps. The categories are fitted in order; from the second
 on, a model also reads the probabilities of the earlier categories. Its training rows get those from
 models that did not see them (out of fold), so that it learns how reliable they really are; when
@@ -41,6 +41,7 @@ class ChainConfig:
     buckets: int = 1 << 18
     features: int = 400
     least_documents: int = 3
+    least_chi: float = 10.83  # one in a thousand buckets without any bearing reaches it
     ridge: float = 1.0
     steps: int = 25
 
@@ -90,7 +91,7 @@ def fit_model(owner: np.ndarray, bucket: np.ndarray, earlier: np.ndarray, label:
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = (hits - inside) ** 2 / inside + (df - hits - outside) ** 2 / outside
         chi *= n / np.maximum(n - df, 1)
-    chi[(df < config.least_documents) | (df == n)] = 0
+    chi[(df < config.least_documents) | (df == n) | (chi < config.least_chi)] = 0
     chosen = np.sort(np.argsort(-chi, kind="stable")[: config.features])
     chosen = chosen[chi[chosen] > 0]
     x = np.hstack([as_table(owner, bucket, n, chosen), earlier, np.ones((n, 1))])
