@@ -8,16 +8,10 @@ from pyspark.sql import functions as F
 from staycoder.functions import fixed
 from staycoder.functions.text import strip
 
-REWRITE_ROLE = (
-    "Vous aidez des médecins codeurs. Reformulez le compte rendu en français simple et plus court, "
-    "sans rien ajouter, en gardant diagnostics, maladies et traitements. "
-    "Placez la conclusion en tête lorsqu'elle existe."
-)
-REWRITE_REQUEST = "Reformulez ce compte rendu avec vos propres mots"
-CODING_REQUEST = (
-    "Voici un compte rendu hospitalier. "
-    "Répondez seulement par le code CIM-10 de son diagnostic principal."
-)
+# Short neutral defaults; callers with a model in mind pass their own wording.
+REWRITE_ROLE = "Assistant de rédaction."
+REWRITE_REQUEST = "Texte à condenser"
+CODING_REQUEST = "Quel code CIM-10 pour ce texte ?"
 
 
 def rewrite_messages(

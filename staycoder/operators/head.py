@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import warnings
 from dataclasses import dataclass
@@ -23,7 +22,7 @@ class HeadConfig:
     C: float = 1.0
     max_iter: int = 200
     tolerance: float = 1e-6
-    aggregation_depth: int = 2
+    aggregation_depth: int = 3
 
 
 def usable_rows(df: DataFrame, vector: str, label: str) -> DataFrame:
@@ -31,14 +30,6 @@ def usable_rows(df: DataFrame, vector: str, label: str) -> DataFrame:
     return df.where(F.col(vector).isNotNull() & F.col(label).isNotNull() & (F.col(label) != ""))
 
 
-def _for_iterations(rows: DataFrame, n_rows: int, rows_per_task: int = 5_000) -> DataFrame:
-    """As many partitions as cores, fewer for a small table: each iteration runs one task per partition
-    and sends one gradient (classes x features) from each. Only a small table is shuffled for it."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    wanted = max(1, math.ceil(n_rows / rows_per_task))
-    return rows.repartition(wanted) if wanted < cores else rows.coalesce(cores)
-
-
 def fit_head(
     df: DataFrame,
     vector: str = "emb",
@@ -51,7 +42,8 @@ def fit_head(
     The penalised objective C * sum(w * loss) + |W|^2 / 2 becomes Spark's mean loss with
     regParam = 1 / (C * sum(w)); intercepts are free and features are not rescaled. `df` is read
     for the class counts and once more by the solver, which caches its blocks: pass a stored table
-    if computing the vectors is expensive. Only labels and coefficients reach the driver.
+    if computing the vectors is expensive. Its partitions are kept, so a caller spreads a tiny table; gradients are
+    added up in a tree of `aggregation_depth`. Only labels and coefficients reach the driver.
     """
     rows = usable_rows(df, vector, label)
     rows = rows.select(
@@ -59,7 +51,7 @@ def fit_head(
         F.col(label).cast("string").alias("label_name"),
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"),
     )
-    per_class = rows.groupBy("label_name").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
+    per_class = rows.groupBy("label_name").agg(F.sum("weight").alias("w"))
     classes = per_class.orderBy("label_name").collect()
     if not classes:
         raise ValueError("no usable training row: every vector or label is missing")
@@ -83,7 +75,6 @@ def fit_head(
         tol=config.tolerance,
         aggregationDepth=config.aggregation_depth,
     )
-    rows = _for_iterations(rows, sum(row["n"] for row in classes))
     model = solver.fit(indexer.transform(rows))
     if model.summary.totalIterations >= config.max_iter:
         warnings.warn(f"the head stopped after {config.max_iter} iterations", stacklevel=2)

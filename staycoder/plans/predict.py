@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from staycoder.functions import fixed
-from staycoder.functions.text import add_text_metrics, first_filled, normalize_text
+from staycoder.functions.text import add_text_metrics, first_filled, normalize_text, strip
 from staycoder.operators.checks import require_choice, require_rows
 from staycoder.operators.chunking import WindowConfig, add_chunks, explode_chunks
 from staycoder.operators.embedding import embed_hashed, embed_with_model
@@ -92,7 +92,7 @@ def _rewrite_step(df: DataFrame, config: PredictConfig) -> DataFrame:
 
 
 def _windows(df: DataFrame, config: PredictConfig, *fallback: str) -> DataFrame:
-    note = first_filled(*_texts(df, "text_rw", "text_norm", "text"))
+    note = strip(first_filled(*_texts(df, "text_rw", "text_norm", "text")))
     chunked = add_chunks(df, note, config.windows)
     last_resort = first_filled(*_texts(df, *fallback))
     return explode_chunks(chunked, [KEY, *_carried(df)], fallback=last_resort)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from staycoder.functions import fixed
 from staycoder.functions.text import strip
 from staycoder.operators.checks import require_columns
 
 
+SURPLUS = "_surplus"  # filled by a CSV row with more fields than the header
+
+
 def missing_as_null(value: Column) -> Column:
     """Text field with the usual spellings of a missing value turned into null."""
     return F.when(~value.isin(*fixed.NA_STRINGS), value)
@@ -18,20 +22,27 @@ def missing_as_null(value: Column) -> Column:
 def read_table(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Read CSV (header, quoted line breaks, doubled quotes, all strings) or any columnar format.
 
+    A CSV row with fields beyond the header is an error that names the file (empty ones hold
+    nothing and are let through); missing fields at its end are null.
+
     A CSV file with quoted line breaks is one task; large inputs should be many files, or be
     stored as parquet once (`with_row_key` does both the key and the storing).
     """
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
-    raw = (
+    reader = (
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("enforceSchema", False)
-        .csv(path)
     )
-    return raw.select([missing_as_null(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    names = reader.csv(path).columns
+    schema = StructType([StructField(name, StringType()) for name in [*names, SURPLUS]])
+    raw = reader.schema(schema).csv(path)
+    # every column carries the check, so that no projection can prune it away
+    message = F.concat(F.lit("a row has more fields than the header: "), F.input_file_name())
+    checked = F.when(F.col(SURPLUS).isNotNull(), F.raise_error(message))
+    return raw.select([checked.otherwise(missing_as_null(F.col(f"`{c}`"))).alias(c) for c in names])
 
 
 def as_documents(

@@ -119,3 +119,14 @@ def test_spread_only_widens_small_scans(spark):
     assert shared.spread(path, "id").rdd.getNumPartitions() == 8
     wide = spark.range(0, 100, 1, 32)
     assert shared.spread(wide, "id") is wide
+
+
+def test_csv_with_surplus_and_missing_fields(spark, tmp_path):
+    path = tmp_path / "notes.csv"
+    path.write_text('id,text,code\n1,"a, b",E11\n2,short\n3,"two\nlines",I10\n')
+    rows = [tuple(r) for r in read_table(spark, str(path)).orderBy("id").collect()]
+    assert rows == [("1", "a, b", "E11"), ("2", "short", None), ("3", "two\nlines", "I10")]
+    for surplus in ("2,un, deux,E11", "2,un,E11,x,y"):
+        path.write_text(f"id,text,code\n1,a,E11\n{surplus}\n")
+        with pytest.raises(Exception, match="more fields than the header"):
+            read_table(spark, str(path)).select("code").collect()

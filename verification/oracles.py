@@ -232,9 +232,9 @@ ORACLES["pool_chunks_mean"] = pooled("avg(x)::FLOAT::DOUBLE")
 ORACLES["pool_chunks_max"] = pooled("max(x)")
 ORACLES["pool_chunks_median"] = pooled("median(x)::FLOAT::DOUBLE")
 ORACLES["pool_chunks_first"] = pooled("min(x)", "chunk_no = 0")
-ORACLES["pool_logits_mean"] = pooled("avg(x)", "i < 10")
-ORACLES["pool_logits_max"] = pooled("max(x)", "i < 10")
-ORACLES["pool_logits_median"] = pooled("median(x)", "i < 10")
+ORACLES["pool_logits_mean"] = pooled("avg(x)")
+ORACLES["pool_logits_max"] = pooled("max(x)")
+ORACLES["pool_logits_median"] = pooled("median(x)")
 
 NAMES = "(SELECT DISTINCT label AS label_id, printf('C%02d', label) AS name FROM embeddings WHERE label < 8)"
 
@@ -249,12 +249,11 @@ def top_class(source: str, key: str) -> str:
     ) WHERE rk = 1"""
 
 
-FIRST_TEN = f"(SELECT * FROM {PARTS} WHERE i < 10)"
-DOC_LOGITS = f"(SELECT doc, i, avg(x) AS x FROM {PARTS} WHERE i < 10 GROUP BY doc, i)"
+DOC_LOGITS = f"(SELECT doc, i, avg(x) AS x FROM {PARTS} GROUP BY doc, i)"
 ORACLES["argmax_label"] = f"""
 SELECT vec_id, label_id::BIGINT AS label_id, coalesce(name, label_id::VARCHAR) AS code
-FROM ({top_class(FIRST_TEN, 'vec_id')}) LEFT JOIN {NAMES} USING (label_id)"""
-ORACLES["softmax_score"] = f"SELECT vec_id, round(score, 6) AS score FROM ({top_class(FIRST_TEN, 'vec_id')})"
+FROM ({top_class(PARTS, 'vec_id')}) LEFT JOIN {NAMES} USING (label_id)"""
+ORACLES["softmax_score"] = f"SELECT vec_id, round(score, 6) AS score FROM ({top_class(PARTS, 'vec_id')})"
 ORACLES["doc_classifier"] = f"""
 SELECT doc, coalesce(name, label_id::VARCHAR) AS code, round(score, 6) AS score
 FROM ({top_class(DOC_LOGITS, 'doc')}) LEFT JOIN {NAMES} USING (label_id)"""
@@ -267,8 +266,8 @@ FROM (SELECT *, {letters('text')} AS v FROM documents)"""
 ORACLES["rewrite_copy"] = "SELECT doc_id, CASE WHEN lang = 'en' THEN '' ELSE text END AS text_rw FROM documents"
 ORACLES["rewrite_extract"] = extracted("documents", "doc_id", has_word("s", "das|los|les|by"), 60)
 ORACLES["rewrite_model"] = f"""
-SELECT doc_id, CASE WHEN lang = 'es' THEN '' ELSE trim(right({text_sql(prompts.REWRITE_REQUEST + ' (~50 mots) :')}
-    || chr(10) || chr(10) || trim(text, {BLANKS}), 80), {BLANKS}) END AS text_rw FROM documents"""
+SELECT doc_id, CASE WHEN lang = 'es' THEN '' ELSE trim({text_sql(prompts.REWRITE_REQUEST + ' (~50 mots) :')}
+    || chr(10) || chr(10) || trim(text, {BLANKS}), {BLANKS}) END AS text_rw FROM documents"""
 ORACLES["generated_code"] = f"""
 SELECT doc_id, coalesce({icd10("split_part(gen, 'DP:', -1)")}, {icd10('gen')}, '') AS code
 FROM (SELECT doc_id, p || CASE WHEN length(p) % 2 = 1 THEN ' I21.4.' ELSE ' rien' END AS gen

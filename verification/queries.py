@@ -389,7 +389,7 @@ def pool_chunks_first(spark, sf_dir):
 
 
 def _logits(spark, sf_dir) -> DataFrame:
-    return vecs(spark, sf_dir).withColumn("logits", F.slice("embedding", 1, 10))
+    return vecs(spark, sf_dir).withColumn("logits", F.col("embedding"))
 
 
 def _pooled_logits(spark, sf_dir, strategy: str) -> DataFrame:
@@ -462,7 +462,7 @@ def rewrite_extract(spark, sf_dir):
 def tail_writer():
     def factory():
         def model(messages, rng):
-            return [m[1]["content"][-80:] for m in messages]
+            return [m[1]["content"] for m in messages]
 
         return model
 
