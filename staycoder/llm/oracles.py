@@ -16,6 +16,56 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+# Windows of 200 bytes are stretches of 400 hexadecimal digits.
+OP1 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(len(h) // 2 - 199)) AS p, h FROM d WHERE len(h) >= 400
+), k AS (
+  SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS k FROM w
+), r AS (
+  SELECT doc_id, p FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) > 1)
+), edges AS (
+  SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM r
+), numbered AS (
+  SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM edges
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY doc_id, span
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans
+), kept AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN last IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+# Five hexadecimal digits of a SHA-1 are four signs of base 32.
+OP6 = """
+WITH d AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), s AS (
+  SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS x FROM d
+), t AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS INTEGER) // CAST(power(32, 3 - i % 4) AS INTEGER)) % 32 + 1 AS BIGINT), 1)), '')
+    AS payload_digest FROM s
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM t
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": OP1,
     "op5_exact_topk": OP5,
+    "op6_warc": OP6,
 }
