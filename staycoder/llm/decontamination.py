@@ -10,7 +10,12 @@
    languages and frequent words apart, are left out. A chunk of n words makes up n/48 of a window that
    holds it, so pairs with a cosine of at least `cosine` * sqrt(n / 48) go on.
    All windows of all texts meet all items of the stated benchmark, in blocks.
-3. *Proof.* The item and the words around the window are compared by longest common subsequence. A
+3. *Exact candidates.* A cosine is no proof of absence, so two lookups find what the proof accepts whatever
+   its cosine. A passage with `copied` of an item's n words lacks n - ceil(copied * n) at most, so it has one
+   of any n - ceil(copied * n) + 1 of them: the rarest are looked up. Less than `copied` needs the answer,
+   which is looked up as a whole. Nothing is missed whose words are shifted against each other by up to
+   `REACH` words (words put in or left out between them).
+4. *Proof.* The item and the words around the place are compared by longest common subsequence. A
    document is contaminated if it has `copied` of an item's words in order, or `paraphrased` of
    them and the item's answer (its last `answer_words` words) as they stand.
 
@@ -22,6 +27,7 @@ sent to every task. Columns of the documents are kept; a column named like the r
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from staycoder.llm.hashing import buffers, words
+from staycoder.llm.hashing import BASE, buffers, mix, words
 
 STEP = 16
 WINDOW = 3 * STEP
@@ -40,10 +46,10 @@ MATCH = "array<struct<item_id:long,lcs:double,cosine:double,answer:boolean>>"
 @dataclass(frozen=True)
 class LeakConfig:
     buckets: int = 1 << 14
-    sketch: int = 64
+    sketch: int = 80
     skipped: int = 8
-    rank: int = 48
-    cosine: float = 0.62
+    rank: int = 64
+    cosine: float = 0.55
     copied: float = 0.8
     paraphrased: float = 0.6
     answer_words: int = 5
@@ -122,8 +128,8 @@ def _sketch(config: LeakConfig, text: str):
     return run
 
 
-def latent_words(docs: DataFrame, config: LeakConfig = LeakConfig(), text: str = "text") -> np.ndarray:
-    """buckets x rank: what a word of a bucket adds to a passage's latent vector.
+def latent_words(docs: DataFrame, config: LeakConfig = LeakConfig(), text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """buckets x rank, what a word of a bucket adds to a passage's latent vector, and each bucket's passage count.
 
     The driver gets one number per bucket and sketch column, whatever the size of the corpus.
     """
@@ -132,9 +138,11 @@ def latent_words(docs: DataFrame, config: LeakConfig = LeakConfig(), text: str =
     parts = docs.select(text).mapInArrow(_sketch(config, text), schema)
     sums = parts.groupBy("bucket").agg(F.sum("df"), F.sum("passages"), *[F.sum(c) for c in names]).toArrow()
     out = np.zeros((config.buckets, config.rank), dtype=np.float32)
+    df = np.zeros(config.buckets, dtype=np.int64)
     if not sums.num_rows:
-        return out
+        return out, df
     bucket = sums.column(0).to_numpy()
+    df[bucket] = sums.column(1).to_numpy()
     idf = np.log1p(sums.column(2).to_numpy().sum() / sums.column(1).to_numpy())
     y = np.stack([sums.column(3 + j).to_numpy() for j in range(config.sketch)], axis=1)
     core = _gaussian(config)[bucket].astype(np.float64).T @ y
@@ -146,7 +154,7 @@ def latent_words(docs: DataFrame, config: LeakConfig = LeakConfig(), text: str =
     skipped = min(config.skipped, max(0, found - config.rank))
     use = slice(skipped, min(found, skipped + config.rank))
     out[bucket, : use.stop - use.start] = idf[:, None] * left[:, use] / singular[use]
-    return out
+    return out, df
 
 
 @dataclass
@@ -180,18 +188,53 @@ class Item:
         return any(span[i : i + len(last)] == last for i in range(len(span) - len(last) + 1))
 
 
+def _append(columns: tuple[list, list, list], *values: int) -> None:
+    for column, value in zip(columns, values, strict=True):
+        column.append(value)
+
+
+def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of every n words in a row, by the first."""
+    out = np.zeros(max(0, len(hashes) - n + 1), dtype=np.uint64)
+    for k in range(n):
+        out = out * BASE + hashes[k : k + len(out)]
+    return mix(out)
+
+
+class Lookup:
+    """Keys (words, or runs of words) and where in which items they stand."""
+
+    def __init__(self, keys: list[int], item: list[int], at: list[int]):
+        order = np.argsort(np.array(keys, dtype=np.uint64), kind="stable")
+        self.keys, self.first = np.unique(np.array(keys, dtype=np.uint64)[order], return_index=True)
+        self.first = np.append(self.first, len(keys))
+        self.item, self.at = np.array(item, dtype=np.int64)[order], np.array(at, dtype=np.int64)[order]
+        self.slots = np.zeros(1 << 16, dtype=bool)
+        self.slots[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def hits(self, hashes: np.ndarray):
+        """(place in `hashes`, item, place in the item) of every occurrence of a key."""
+        place = np.flatnonzero(self.slots[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+        key = np.minimum(np.searchsorted(self.keys, hashes[place]), len(self.keys) - 1)
+        same = self.keys[key] == hashes[place]
+        place, key = place[same], key[same]
+        n = self.first[key + 1] - self.first[key]
+        entry = np.repeat(self.first[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(place, n), self.item[entry], self.at[entry]
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
 
-SLACK = 8  # words by which an edited item may be out of place around a window
+REACH = WINDOW  # words by which an edited item's words may be shifted against each other
 ITEMS_AT_ONCE = 256
 
 
 class Block:
     """Some items of the benchmark: their chunks as unit vectors, and which word is which of an item's words."""
 
-    def __init__(self, items: list[Item], table: np.ndarray):
+    def __init__(self, items: list[Item], table: np.ndarray, df: np.ndarray, config: LeakConfig):
         self.items = items
         number, at, share, vectors = [], [], [], []
         for i, item in enumerate(items):
@@ -214,12 +257,44 @@ class Block:
             known = np.array(list(item.places), dtype=np.uint64)
             self.slot[i, np.searchsorted(self.vocabulary, known)] = np.arange(1, len(known) + 1)
             self.times[i, 1 : len(known) + 1] = [p.bit_count() for p in item.places.values()]
+        rare, answers = ([], [], []), {}
+        for i, item in enumerate(items):
+            n = len(item.words)
+            array = np.array(item.words, dtype=np.uint64)
+            order = np.argsort(df[(array & np.uint64(len(df) - 1)).astype(np.int64)], kind="stable")
+            for at in order[: n - max(1, math.ceil(config.copied * n - 1e-9)) + 1].tolist():
+                _append(rare, item.words[at], i, at)
+            size = min(n, config.answer_words)
+            if size:
+                _append(answers.setdefault(size, ([], [], [])), int(_runs(array[n - size :], size)[0]), i, n - size)
+        self.rare = Lookup(*rare)
+        self.answers = {size: Lookup(*found) for size, found in answers.items()}
+
+    def exact(self, config: LeakConfig, hashes: np.ndarray):
+        """(item, place of its first word, least share) of all places the proof could accept."""
+        yield *self._starts(self.rare.hits(hashes)), config.copied
+        for size, lookup in self.answers.items():
+            yield *self._starts(lookup.hits(_runs(hashes, size))), config.paraphrased
+
+    @staticmethod
+    def _starts(hits):
+        """Each (item, start) once, with the place of one hit, which tells the text."""
+        place, item, at = hits
+        order = np.lexsort((place, place - at, item))
+        place, item, start = place[order], item[order], (place - at)[order]
+        return place, item, start
 
     def coded(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's number in the vocabulary; others get the number after the last."""
         place = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[place] == hashes, place, len(self.vocabulary))
 
+    def nearest(self, i: int, start: int, edges: tuple[int, int], first: int, windows: np.ndarray) -> float:
+        """The best cosine of item i's chunks, if its first word stands at `start`, with the windows that hold them."""
+        chunk = np.flatnonzero(self.number == i)
+        window = np.clip(edges[0] + (start + self.at[chunk] - first) // STEP, edges[0], edges[1] - 1)
+        return float((windows[window] * self.vectors[chunk]).sum(axis=1).max())
+
     def most(self, item: np.ndarray, coded: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Per pair, at least as many words as the item can have in common with the words begin:end."""
         out = np.zeros(len(item), dtype=np.int64)
@@ -246,8 +321,8 @@ def _windows(table: np.ndarray, hashes: np.ndarray, first: np.ndarray):
     return owner, starts, _unit(whole).astype(np.float32)
 
 
-def _search(config: LeakConfig, text: str, items: list[Item], table: np.ndarray):
-    blocks = [Block(items[i : i + ITEMS_AT_ONCE], table) for i in range(0, len(items), ITEMS_AT_ONCE)]
+def _search(config: LeakConfig, text: str, items: list[Item], table: np.ndarray, df: np.ndarray):
+    blocks = [Block(items[i : i + ITEMS_AT_ONCE], table, df, config) for i in range(0, len(items), ITEMS_AT_ONCE)]
 
     def prove(block: Block, hashes: np.ndarray, owner, begin, end, item, near, found: list[dict]) -> None:
         for doc, b, e, i, cosine in zip(owner.tolist(), begin.tolist(), end.tolist(), item.tolist(), near.tolist(), strict=True):
@@ -263,6 +338,24 @@ def _search(config: LeakConfig, text: str, items: list[Item], table: np.ndarray)
             if share >= config.copied or answer:
                 found[doc][one.item_id] = {"item_id": one.item_id, "lcs": share, "cosine": cosine, "answer": answer}
 
+    def prove_exact(block: Block, hashes, first, coded, starts, vectors, found: list[dict]) -> None:
+        for place, item, start, least in block.exact(config, hashes):
+            owner = np.searchsorted(first, place, side="right") - 1
+            new = np.ones(len(item), dtype=bool)
+            new[1:] = (item[1:] != item[:-1]) | (start[1:] != start[:-1]) | (owner[1:] != owner[:-1])
+            owner, item, start = owner[new], item[new], start[new]
+            begin = np.maximum(first[owner], start - REACH)
+            end = np.minimum(first[owner + 1], start + block.length[item] + REACH)
+            use = np.flatnonzero(block.most(item, coded, begin, end) >= least * block.length[item] - 1e-9)
+            if not len(use):
+                continue
+            edges = np.searchsorted(starts, first)
+            near = [
+                block.nearest(i, s, (edges[d], edges[d + 1]), first[d], vectors)
+                for d, i, s in zip(owner[use].tolist(), item[use].tolist(), start[use].tolist(), strict=True)
+            ]
+            prove(block, hashes, owner[use], begin[use], end[use], item[use], np.array(near), found)
+
     def run(batches):
         import pyarrow as pa
 
@@ -279,11 +372,12 @@ def _search(config: LeakConfig, text: str, items: list[Item], table: np.ndarray)
                         near = vectors[i : i + 4096] @ block.vectors.T
                         row, chunk = np.nonzero(near >= least)
                         cosine, row, item = near[row, chunk], row + i, block.number[chunk]
-                        begin = np.maximum(first[owner[row]], starts[row] - block.at[chunk] - SLACK)
-                        end = starts[row] - block.at[chunk] + STEP + block.length[item] + SLACK
+                        begin = np.maximum(first[owner[row]], starts[row] - block.at[chunk] - STEP)
+                        end = starts[row] - block.at[chunk] + block.length[item] + WINDOW
                         end = np.minimum(first[owner[row] + 1], np.maximum(end, begin))
-                        use = block.most(item, coded, begin, end) >= config.paraphrased * block.length[item]
+                        use = block.most(item, coded, begin, end) >= config.paraphrased * block.length[item] - 1e-9
                         prove(block, hashes, owner[row[use]], begin[use], end[use], item[use], cosine[use], found)
+                    prove_exact(block, hashes, first, coded, starts, vectors, found)
             column = pa.array([[f[k] for k in sorted(f)] for f in found], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "_leaks"])
 
@@ -315,9 +409,9 @@ def with_leaks(
     docs = docs.drop(out)
     if not items:
         return docs.withColumn(out, F.array().cast(MATCH))
-    table = latent_words(docs, config, text)
+    table, df = latent_words(docs, config, text)
     schema = StructType([*docs.schema.fields, StructField("_leaks", _parse_datatype_string(MATCH))])
-    return docs.mapInArrow(_search(config, text, items, table), schema).withColumnRenamed("_leaks", out)
+    return docs.mapInArrow(_search(config, text, items, table, df), schema).withColumnRenamed("_leaks", out)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

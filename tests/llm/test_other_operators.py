@@ -142,6 +142,29 @@ def test_leaks_are_retrieved_with_production_parameters(spark):
     assert len(want) > 10 and len(want & found) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("n", [8, 12, 16, 20, 40])
+def test_edited_leaks_are_found_with_production_parameters(spark, n):
+    rng = random.Random(n)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(300).collect()
+    bodies = [r["text"].split() for r in rows]
+    common = sorted({w for b in bodies for w in b if re.fullmatch("[a-z]+", w)})
+    items = [(i, " ".join(rng.sample(common, n))) for i in range(20)]
+    docs, want = [], set()
+    for k, body in enumerate(bodies):
+        item_id, item = items[k % 20][0], items[k % 20][1].split()
+        copied = k % 2 == 0  # else the answer stands and as little as 60% of the words are kept
+        lost = int((0.2 if copied else 0.4) * n)
+        for at in rng.sample(range(n if copied else n - 5), min(lost, n if copied else n - 5)):
+            item[at] = f"edit{k}x{at}" if k % 3 else ""
+        at = rng.randrange(len(body) + 1)
+        docs.append((k, " ".join([*body[:at], *item, *body[at:]])))
+        want.add((k, item_id))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert want <= {(r["doc_id"], r["item_id"]) for r in found}
+    assert all(r["lcs"] >= 0.8 or (r["lcs"] >= 0.6 and r["answer"]) for r in found)
+
+
 def test_budgets_go_to_siblings_first():
     config = MixConfig(levels=("d", "l"), weights={("a",): 3}, total=400, max_epochs=1)
     sizes = {("a", "x"): 10, ("a", "y"): 500, ("b", "x"): 1000}
