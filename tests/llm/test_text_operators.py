@@ -168,6 +168,23 @@ def test_fuzzy_lines(spark):
     assert removed_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_fuzzy_lines_of_all_lengths(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(5, 9))) for _ in range(3000)]
+    rows, lengths = [], (2, 3, 4, 5, 8, 10, 15, 20, 30, 50)
+    for n in lengths:
+        for _ in range(30):
+            line = [rng.choice(vocabulary) for _ in range(n)]
+            near, at = list(line), rng.randrange(n)
+            # one word is replaced, in lines of fewer than ten words one letter: similarity above 0.8
+            near[at] = near[at][::-1] + "x" if n >= 10 else near[at][:2] + "é" + near[at][3:]
+            rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(near))]
+    gone = {r["doc_id"] for r in removed_lines(table(spark, rows)).where("n_removed > 0").collect()}
+    assert not [i for i in gone if i % 2 == 0]
+    for k, n in enumerate(lengths):
+        assert len(gone & set(range(60 * k, 60 * k + 60))) >= 27, n
+
+
 def test_normalised_lines(spark):
     from pyspark.sql import functions as F
 
