@@ -275,13 +275,15 @@ def jaccard_groups(
     text: str = "text",
     width: int = 5,
     percent: int = 80,
+    with_rows: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| for their shingle sets;
     component_id is the least doc_id that links lead to. Rows with equal ids are separate documents
     of that id; a null id gets a null component_id unless a linked document has one. Other columns
-    are ignored.
+    are ignored. `with_rows` adds text_key (hash of the text) and `first`: whether (doc_id, text_key) is the
+    component's least, null ids last. A text without a word is always first.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
@@ -307,7 +309,7 @@ def jaccard_groups(
     sets = rows.mapInArrow(_identities(width), "id long, text_key long, n long, h1 long, h2 long")
     sets = write_once(sets, "shingle-sets")
     identity = ["n", "h1", "h2"]
-    least = sets.where("n > 0").groupBy(*identity).agg(F.min("id").alias("least"))
+    least = sets.where("n > 0").groupBy(*identity).agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), F.coalesce("id", F.lit(0)), "text_key")).alias("row"))
 
     band = F.floor(F.log2("n") / 2)
     postings = classes.select(
@@ -360,11 +362,14 @@ def jaccard_groups(
 
     named = least.withColumnRenamed("h1", "node").join(label, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "component").select(F.col("n"), F.col("node").alias("h1"), "h2", "component_id")
-    out = sets.select("id", *identity).join(named, identity, "left")
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("row").alias("first_row"))
+    named = named.join(smallest, "component").select(F.col("n"), F.col("node").alias("h1"), "h2", "component_id", "first_row")
+    out = sets.select("id", "text_key", *identity).join(named, identity, "left")
+    row = F.struct(F.col("id").isNull(), F.coalesce("id", F.lit(0)), F.col("text_key"))
+    more = [F.col("text_key"), ((F.col("n") == 0) | (row == F.col("first_row"))).alias("first")] if with_rows else []
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        *more,
     )

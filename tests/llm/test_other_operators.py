@@ -200,6 +200,16 @@ def test_mixing(spark):
     assert mix(docs.limit(0), config).count() == 0
 
 
+def test_near_duplicates_go_by_row(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a), (1, a), (2, f"{a} end"), (2, b), (None, c), (None, c), (None, f"{a} more"), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(map(str, (tuple(r) for r in kept))) == sorted(map(str, [(1, a), (2, b), (None, c), (3, None), (3, None)]))
+
+
 def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     import corpus_pipeline
 
