@@ -64,8 +64,57 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 FROM f
 """
 
+# In which of the 120 orders what happens to a document depends on the set of its failures only.
+OP12 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents
+), c AS (
+  SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS caps,
+    min(doc_id) OVER (PARTITION BY t) AS least
+  FROM d
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * caps > 10 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN c.doc_id > least OR (c.doc_id IS NULL AND least IS NOT NULL) THEN 'E' ELSE '' END AS fails
+  FROM c LEFT JOIN marks m ON c.doc_id = m.doc_id
+), n AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL
+), grow(filter_order) AS (
+  SELECT ''
+  UNION ALL
+  SELECT filter_order || x FROM grow, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)
+), steps AS (
+  SELECT filter_order, CAST(i AS INTEGER) AS step, substr(filter_order, i, 1) AS letter, substr(filter_order, 1, i - 1) AS earlier
+  FROM grow, (SELECT unnest(range(1, 6)) AS i) WHERE length(filter_order) = 5
+), happens AS (
+  SELECT part, filter_order, step, letter, n, good, toxic,
+    contains(fails, letter) AS has, fails = letter AS sole,
+    len(list_intersect(string_split(fails, ''), string_split(earlier, ''))) > 0 AND fails <> '' AND earlier <> '' AS gone
+  FROM n, steps
+), sums AS (
+  SELECT part, filter_order, step, letter,
+    CAST(sum(CASE WHEN NOT gone AND NOT has THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN NOT gone AND has THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN gone AND has THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN sole THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN NOT gone AND has THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN NOT gone AND has THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM happens GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM sums
+"""
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": OP1,
     "op5_exact_topk": OP5,
     "op6_warc": OP6,
+    "op12_filter_audit": OP12,
 }

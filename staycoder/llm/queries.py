@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from staycoder.llm.arc_to_warc import convert, read_arc, warc_index, write_arc
 from staycoder.llm.decontamination import leaks
+from staycoder.llm.filter_audit import filter_audit
 from staycoder.llm.jaccard_join import jaccard_groups
 from staycoder.llm.line_dedup import removed_lines
 from staycoder.llm.mixing import MixConfig, mix
+from staycoder.llm.page_difference import main_text
 from staycoder.llm.pii import pii_digest
 from staycoder.llm.suffix_dedup import remove_repeats
 from staycoder.llm.token_output import token_index, write_tokens
@@ -98,6 +100,14 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, path)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_pii": op2_pii,
@@ -109,4 +119,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
     "op10_token_output": op10_token_output,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_filter_audit": op12_filter_audit,
 }
