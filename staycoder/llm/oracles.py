@@ -112,9 +112,51 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
   CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
 FROM sums
 """
+# crc32 is a fold over the digits with the 256-entry table of the reflected polynomial 0xEDB88320 (3988292384).
+OP13 = """
+WITH bits AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k:
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc
+), t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, xor(list_reduce([4294967295] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda s, b: xor(s // 256, crc[CAST(xor(s % 256, b) AS BIGINT) + 1])), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM t), bits
+), rebuilt AS (
+  SELECT v.c, b.pos, b.role, b.text FROM convs v JOIN t b ON b.c = v.c - v.c % 100 AND b.pos <= v.h
+  UNION ALL
+  SELECT t.c, t.pos + 5, role, text FROM t JOIN convs v ON v.c = t.c WHERE t.pos > v.h
+), members AS (
+  SELECT c, row_number() OVER s AS depth, length(text) AS n,
+    string_agg(md5(length(role) || ':' || role || text), '') OVER s AS prefix
+  FROM rebuilt WINDOW s AS (PARTITION BY c ORDER BY pos)
+  UNION ALL
+  SELECT c, 0, 0, '' FROM convs
+), ends AS (
+  SELECT prefix, string_agg(c, ',' ORDER BY c) AS ids
+  FROM members m JOIN (SELECT c, max(depth) AS depth FROM members GROUP BY c) l USING (c, depth) GROUP BY prefix
+), nodes AS (
+  SELECT prefix, depth, min(c) AS conv_id, count(*) AS n_convs, max(n) AS n FROM members GROUP BY prefix, depth
+), children AS (
+  SELECT left(prefix, 32 * (depth - 1)) AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), subtree AS (
+  SELECT a.prefix, count(*) FILTER (WHERE k.prefix IS NULL) AS n_leaves, sum((d.n_convs - 1) * d.n) AS saved_tokens
+  FROM nodes d JOIN members a ON a.c = d.conv_id AND a.depth <= d.depth LEFT JOIN children k ON k.prefix = d.prefix
+  GROUP BY a.prefix
+)
+SELECT d.conv_id, d.depth, p.conv_id AS parent_conv_id, d.n_convs, coalesce(k.n_children, 0) AS n_children, n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes d JOIN subtree s USING (prefix) LEFT JOIN children k USING (prefix) LEFT JOIN ends e USING (prefix)
+LEFT JOIN nodes p ON d.depth > 0 AND p.prefix = left(d.prefix, 32 * (d.depth - 1))
+"""
+
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": OP1,
     "op5_exact_topk": OP5,
     "op6_warc": OP6,
     "op12_filter_audit": OP12,
+    "op13_conversation_trie": OP13,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staycoder.llm.arc_to_warc import convert, read_arc, warc_index, write_arc
+from staycoder.llm.conversation_trie import conversation_trie
 from staycoder.llm.decontamination import leaks
 from staycoder.llm.filter_audit import filter_audit
 from staycoder.llm.jaccard_join import jaccard_groups
@@ -108,6 +109,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_pii": op2_pii,
@@ -121,4 +126,5 @@ QUERIES = {
     "op10_token_output": op10_token_output,
     "op11_html_extraction": op11_html_extraction,
     "op12_filter_audit": op12_filter_audit,
+    "op13_conversation_trie": op13_conversation_trie,
 }
