@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -11,7 +13,7 @@ from staycoder.functions.text import strip
 from staycoder.operators.checks import require_columns
 
 
-SURPLUS = "_surplus"  # filled by a CSV row with more fields than the header
+RECORD = "_record"  # the text of a CSV row whose number of fields is not the header's
 
 
 def missing_as_null(value: Column) -> Column:
@@ -19,11 +21,31 @@ def missing_as_null(value: Column) -> Column:
     return F.when(~value.isin(*fixed.NA_STRINGS), value)
 
 
+def distinct_names(header: list[str | None]) -> list[str]:
+    """Column names of a header: an empty one is named by its place, a repeated one gets a number."""
+    names: list[str] = []
+    for i, name in enumerate(header):
+        name = name or f"Unnamed: {i}"
+        numbered = (f"{name}.{k}" for k in itertools.count(1))
+        names.append(next(n for n in itertools.chain([name], numbered) if n not in names and (n == name or n not in header)))
+    return names
+
+
+def _fields(record: Column) -> Column:
+    """Number of fields of a CSV record; null if a quote is left open."""
+    unquoted = F.regexp_replace(F.replace(record, F.lit('""'), F.lit("")), r'(?s)(^|,)"[^"]*"', "$1")
+    commas = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit("")))
+    return F.when(~F.rlike(unquoted, F.lit('(?s)(^|,)"')), commas + 1)
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Read CSV (header, quoted line breaks, doubled quotes, all strings) or any columnar format.
 
-    A CSV row with fields beyond the header is an error that names the file (empty ones hold
-    nothing and are let through); missing fields at its end are null.
+    Nothing is lost or moved in silence: a CSV row with more fields than the header, empty ones included, or
+    with a quote left open is an error that names the file; missing fields at a row's end are null. All files of a folder
+    must have the same header in the same order. Empty and repeated column names get a name of their own,
+    in single files only. Fields are counted for rows that do not fit, so good rows cost nothing more. A quote
+    left open in the last column cannot be told from a long value: it runs to the end of the file.
 
     A CSV file with quoted line breaks is one task; large inputs should be many files, or be
     stored as parquet once (`with_row_key` does both the key and the storing).
@@ -31,18 +53,31 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
     reader = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
+        spark.read.option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("columnPruning", False)  # else only the selected fields of a row are counted
+        .option("columnNameOfCorruptRecord", RECORD)
     )
-    names = reader.csv(path).columns
-    schema = StructType([StructField(name, StringType()) for name in [*names, SURPLUS]])
-    raw = reader.schema(schema).csv(path)
+    as_written = reader.option("header", False).csv(path).head()
+    if as_written is None:
+        raise ValueError(f"no header in {path}")
+    names = distinct_names(list(as_written))
+    renamed = names != list(as_written)
+    schema = StructType([StructField(name, StringType()) for name in [*names, RECORD]])
+    raw = reader.option("header", True).option("enforceSchema", renamed).schema(schema).csv(path)
+    if renamed and len(raw.inputFiles()) > 1:
+        raise ValueError(f"several files need a header with distinct names, not {list(as_written)}")
     # every column carries the check, so that no projection can prune it away
-    message = F.concat(F.lit("a row has more fields than the header: "), F.input_file_name())
-    checked = F.when(F.col(SURPLUS).isNotNull(), F.raise_error(message))
-    return raw.select([checked.otherwise(missing_as_null(F.col(f"`{c}`"))).alias(c) for c in names])
+    record = F.col(RECORD)
+    file = F.input_file_name()
+    surplus = F.concat(F.lit("a row has more fields than the header: "), file)
+    unclosed = F.concat(F.lit("a row opens a quote and does not close it: "), file)
+    check = (
+        F.when(_fields(record) > len(names), F.raise_error(surplus))
+        .when(record.isNotNull() & _fields(record).isNull(), F.raise_error(unclosed))
+    )
+    return raw.select([check.otherwise(missing_as_null(F.col(f"`{c}`"))).alias(c) for c in names])
 
 
 def as_documents(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from staycoder.operators.checks import require_columns, require_rows
 from staycoder.sources import shared
-from staycoder.sources.documents import as_documents, read_table, training_rows
+from staycoder.sources.documents import as_documents, distinct_names, read_table, training_rows
 from staycoder.sources.sinks import label_map_json, prediction_output, recap_json, split_stats_json, write_json_row, write_table
 
 CSV = 'code_sejour,text,code_dp\n001,"l1\nl2 ""q"", x",C34.1\n,NA,\n003,,I21.4\n'
@@ -123,10 +123,43 @@ def test_spread_only_widens_small_scans(spark):
 
 def test_csv_with_surplus_and_missing_fields(spark, tmp_path):
     path = tmp_path / "notes.csv"
-    path.write_text('id,text,code\n1,"a, b",E11\n2,short\n3,"two\nlines",I10\n')
+    path.write_text('id,text,code\n1,"a, b",E11\n2,short\n3,"two\nlines",I10\n4\n5,"a ""q"", b"\n6,5" nail, 6" nail\n')
     rows = [tuple(r) for r in read_table(spark, str(path)).orderBy("id").collect()]
-    assert rows == [("1", "a, b", "E11"), ("2", "short", None), ("3", "two\nlines", "I10")]
-    for surplus in ("2,un, deux,E11", "2,un,E11,x,y"):
+    expected = [("1", "a, b", "E11"), ("2", "short", None), ("3", "two\nlines", "I10"), ("4", None, None), ("5", 'a "q", b', None)]
+    assert rows == [*expected, ("6", '5" nail', ' 6" nail')]
+    for surplus in ("2,un, deux,E11", "2,un,E11,x,y", "2,deux,E12,,perdu", "2,deux,E12,", '2,"d,eux",E12,""', '2,"a"",",b,c', '2,5" x,6" y,z'):
         path.write_text(f"id,text,code\n1,a,E11\n{surplus}\n")
-        with pytest.raises(Exception, match="more fields than the header"):
-            read_table(spark, str(path)).select("code").collect()
+        for columns in (["code"], ["id"], ["id", "text", "code"]):
+            with pytest.raises(Exception, match="more fields than the header"):
+                read_table(spark, str(path)).select(*columns).collect()
+    path.write_text('id,text,code\n1,a,E11\n2,"open,E12\n3,b,I10\n')
+    with pytest.raises(Exception, match="does not close it"):
+        read_table(spark, str(path)).collect()
+
+
+def test_csv_files_of_a_folder_agree(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("code_sejour,text,code_dp\n1,un,E11\n")
+    (tmp_path / "b.csv").write_text("code_sejour,text,code_dp\n2,deux,E12\n")
+    assert sorted(tuple(r) for r in read_table(spark, str(tmp_path)).collect()) == [("1", "un", "E11"), ("2", "deux", "E12")]
+    for header, row in (("text,code_sejour,code_dp", "deux,2,E12"), ("code_sejour,text", "2,deux"), ("code_sejour,text,code_dp,x", "2,deux,E12,y")):
+        (tmp_path / "b.csv").write_text(f"{header}\n{row}\n")
+        with pytest.raises(Exception, match="header"):
+            read_table(spark, str(tmp_path)).select("code_dp").collect()
+
+
+def test_csv_headers_with_repeated_and_empty_names(spark, tmp_path):
+    import pandas as pd
+
+    assert distinct_names(["a", "a", None, "a.1", "a"]) == ["a", "a.2", "Unnamed: 2", "a.1", "a.3"]
+    path = tmp_path / "odd.csv"
+    path.write_text("\ufeffa,b,,a\n1,2,3,4\n", encoding="utf-8")
+    table = read_table(spark, str(path))
+    assert table.columns == list(pd.read_csv(path).columns) and tuple(table.first()) == ("1", "2", "3", "4")
+    (tmp_path / "more.csv").write_text("a,b,,a\n5,6,7,8\n")
+    with pytest.raises(ValueError, match="distinct names"):
+        read_table(spark, str(tmp_path))
+    empty = tmp_path / "none"
+    empty.mkdir()
+    (empty / "x.csv").write_text("")
+    with pytest.raises(ValueError, match="no header"):
+        read_table(spark, str(empty))

@@ -95,6 +95,12 @@ LANG_IDS = "(SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS label_id FROM
 ORACLES["scan_documents"] = """
 SELECT doc_id::VARCHAR AS id_sejour, source AS id_patient, coalesce(text, '') AS text, lang AS gold_dp FROM documents"""
 
+ORACLES["scan_csv"] = """
+SELECT doc_id::VARCHAR AS id_sejour, NULL::VARCHAR AS id_patient,
+       coalesce('"' || replace(text, ' ', ' "" ') || ',' || chr(10) || '"', '') AS text,
+       CASE WHEN lang <> 'de' THEN lang END AS gold_dp
+FROM documents"""
+
 ORACLES["train_rows"] = """
 SELECT doc_id, text, quality::VARCHAR AS quality FROM documents JOIN labels USING (doc_id)
 WHERE text IS NOT NULL AND quality IS NOT NULL"""
@@ -332,6 +338,7 @@ ORACLES["eval_pairs"] = f"""
 SELECT id::VARCHAR AS id, gold_code, pred_code, count(*) AS n_pairs FROM {PAIRS} GROUP BY ALL"""
 ORACLES["confusion_counts"] = f"SELECT * FROM {counts(PAIRS)}"
 ORACLES["eval_scores"] = score_rows(PAIRS)
+ORACLES["eval_from_csv"] = f"SELECT * FROM ({score_rows(PAIRS)}) WHERE average = 'micro'"
 ORACLES["eval_scores_shared_ids"] = score_rows(SHARED)
 ORACLES["classification_report"] = f"""
 SELECT 'class' AS kind, label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support

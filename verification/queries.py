@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
@@ -22,9 +23,10 @@ from staycoder.operators import (
     splitting,
 )
 from staycoder.plans import predict, rewrite
+from staycoder.plans.evaluate import run_evaluate
 from staycoder.sources import documents as sources
 from staycoder.sources import sinks
-from staycoder.sources.shared import spread, write_once
+from staycoder.sources.shared import shared_folder, spread, write_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -104,6 +106,22 @@ def scan_documents(spark, sf_dir):
     return sources.as_documents(padded, "text", "code", "source", "doc_id")
 
 
+def _as_csv(df: DataFrame, name: str) -> str:
+    """The rows as CSV files under the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    sinks.write_table(df, path)
+    return path
+
+
+@query
+def scan_csv(spark, sf_dir):
+    """Documents written as CSV, with quotes and line breaks in their texts, and read as notes."""
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit(" "), F.lit(' "" ')), F.lit(',\n"'))
+    rows = docs(spark, sf_dir).select("doc_id", quoted.alias("text"), F.expr("CASE WHEN lang <> 'de' THEN concat(lang, ' ') END").alias("code"))
+    back = sources.read_table(spark, _as_csv(rows, "scan"))
+    return sources.as_documents(back, "text", "code", "patient", "doc_id")
+
+
 def _labelled(spark, sf_dir) -> DataFrame:
     return docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
 
@@ -593,6 +611,16 @@ def eval_scores_shared_ids(spark, sf_dir):
     return scores.select("average", "n_pairs", *[sixth(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
+@query
+def eval_from_csv(spark, sf_dir):
+    """Gold and predicted codes written as CSV, read again and scored."""
+    gold, pred = _eval_tables(spark, sf_dir)
+    paths = _as_csv(gold, "gold"), _as_csv(pred, "predictions")
+    names = {"gold_id": "gid", "pred_id": "pid", "gold_col": "lang", "pred_col": "guess"}
+    scores, _ = run_evaluate(spark, *paths, average="micro", upper=True, strip_dot=True, **names)
+    return scores.select("average", "n_pairs", *[sixth(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
 # ---- labels and split --------------------------------------------------------------------------
 
 
