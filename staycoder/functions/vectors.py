@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once and bound wherever `use` names it, in lambdas too."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
@@ -20,7 +21,7 @@ def l2_normalize(vector: Column, floor: float = 1e-12) -> Column:
     """Divide by the Euclidean norm, which counts as `floor` at least."""
     squares = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     norm = F.greatest(F.sqrt(squares), F.lit(floor))
-    return _with_value(norm, lambda n: F.transform(vector, lambda x: x.cast("double") / n))
+    return with_value(norm, lambda n: F.transform(vector, lambda x: x.cast("double") / n))
 
 
 def argmax_id(scores: Column) -> Column:
@@ -35,4 +36,4 @@ def softmax_at_max(scores: Column) -> Column:
         total = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top))
         return 1.0 / total
 
-    return _with_value(F.array_max(scores).cast("double"), share)
+    return with_value(F.array_max(scores).cast("double"), share)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,16 +58,18 @@ def test_linear_scorer(spark):
 
 
 def test_hashed_embedding_matches_brute_force(spark):
-    from pyspark.ml.feature import HashingTF
-
-    index = HashingTF(numFeatures=16)
-    rows = spark.createDataFrame([("Rhume rhume, fièvre",), ("...",)], "chunk_text string")
-    got = [r.emb.toArray().tolist() for r in embed_hashed(rows, features=16).collect()]
-    counts = [0.0] * 16
-    for word in ("rhume", "rhume", "fièvre"):
-        counts[index.indexOf(word)] += 1
-    norm = sum(c * c for c in counts) ** 0.5
-    assert got[0] == pytest.approx([c / norm for c in counts]) and got[1] == [0.0] * 16
+    import hashlib
+
+    texts = ["Rhume rhume, fièvre", "...", "", None, " ".join(f"mot{i % 700}" for i in range(20_000))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, chunk_text string")
+    for features in (1, 16, 256):
+        got = {r.i: r.emb for r in embed_hashed(rows, features=features).collect()}
+        for i, text in enumerate(texts):
+            counts = [0.0] * features
+            for word in re.findall(r"[\w]+", (text or "").lower()):
+                counts[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % features] += 1
+            norm = sum(c * c for c in counts) ** 0.5 or 1.0
+            assert got[i] == pytest.approx([c / norm for c in counts])
 
 
 def test_model_embedding_is_normalised(spark):

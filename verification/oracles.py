@@ -6,6 +6,7 @@ RE2 has neither look-around nor a Unicode \\b, so words are cut from wider runs.
 from __future__ import annotations
 
 from staycoder.functions import fixed, prompts
+from verification.solver import softmax_fit, softmax_predict
 
 ORACLES: dict[str, str] = {}
 
@@ -80,6 +81,23 @@ def components(source: str, keys: str, value: str) -> str:
         FROM (SELECT *, unnest(range(len({value}))) AS i FROM ({source}))"""
 
 
+def hashed(source: str, keys: str, features: int = 256) -> str:
+    """Rows (keys, i, x): the components, not zero, of the hashed word counts of chunk_text, scaled to unit length."""
+    return f"""(
+        SELECT {keys}, i, n / sqrt(sum(n * n) OVER (PARTITION BY {keys})) AS x
+        FROM (SELECT {keys}, ('0x' || md5(w)[1:8])::BIGINT % {features} AS i, count(*)::DOUBLE AS n
+              FROM (SELECT {keys}, unnest({words('lower(chunk_text)')}) AS w FROM ({source})) GROUP BY ALL))"""
+
+
+def hashed_documents(source: str, features: int = 256) -> str:
+    """Rows (doc_id, x): mean of a document's window vectors, as a list of doubles with float precision."""
+    return f"""(
+        SELECT doc_id, list(coalesce(s / n, 0)::FLOAT::DOUBLE ORDER BY i) AS x
+        FROM (SELECT doc_id, count(*) AS n, unnest(range({features})) AS i FROM ({source}) GROUP BY doc_id)
+        LEFT JOIN (SELECT doc_id, i, sum(x) AS s FROM {hashed(source, 'doc_id, chunk_no', features)} GROUP BY doc_id, i) USING (doc_id, i)
+        GROUP BY doc_id)"""
+
+
 VECS = "(SELECT vec_id // 5 AS doc, vec_id % 5 AS chunk_no, vec_id, embedding, label FROM embeddings)"
 PARTS = f"(SELECT doc, chunk_no, vec_id, label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM {VECS})"
 
@@ -289,6 +307,14 @@ SELECT vec_id, class::BIGINT AS label_id FROM (
         GROUP BY p.vec_id, w.label)
 ) WHERE rk = 1"""
 
+ORACLES["embed_hashed"] = f"SELECT doc_id, chunk_no, i, round(x, 6) AS x FROM {hashed(windows('documents', 'doc_id', 'text', 478, 414), 'doc_id, chunk_no')}"
+
+CODED = "SELECT vec_id, vec_id AS id, printf('C%02d', label) AS y, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings"
+CLASS_WEIGHTS = f"(SELECT y, (inv / avg(inv) OVER ())::FLOAT::DOUBLE AS w FROM (SELECT y, 1.0::DOUBLE / count(*) AS inv FROM ({CODED}) GROUP BY y))"
+HEAD_ROWS = f"SELECT id AS vec_id, y AS gold_dp, code, round(score, 4) AS score FROM {softmax_predict('rows')} JOIN rows USING (id)"
+ORACLES["fit_head"] = softmax_fit(f"SELECT *, 1.0::DOUBLE AS w FROM ({CODED})") + HEAD_ROWS
+ORACLES["fit_head_weighted"] = softmax_fit(f"SELECT * FROM ({CODED}) JOIN {CLASS_WEIGHTS} USING (y)") + HEAD_ROWS
+
 # ---- scoring -------------------------------------------------------------------------------------
 
 GUESS = """CASE WHEN contains(text, ' the ') THEN 'EN' WHEN contains(text, ' und ') THEN 'DE'
@@ -368,6 +394,11 @@ RUN_NORM = f"(SELECT doc_id, {normalized('text')} AS text_rw, text FROM document
 RUN_PARTS = f"""(SELECT doc_id, i, max(x) AS x FROM (
     SELECT doc_id, unnest(range(4)) AS i, unnest({letters('chunk_text')}) AS x
     FROM ({windows(RUN_NORM, 'doc_id', 'text_rw', 48, 40, 'text')})) GROUP BY doc_id, i)"""
+RUN_VECTORS = hashed_documents(windows(RUN_NORM, "doc_id", "text_rw", 478, 414, "text"))
+ORACLES["frozen_head_run"] = (
+    softmax_fit(f"SELECT doc_id AS id, lang AS y, x, 1.0::DOUBLE AS w FROM {RUN_VECTORS} JOIN documents USING (doc_id)", gap=1e-8)
+    + f"SELECT id::VARCHAR AS code_sejour, code AS dp_predit FROM {softmax_predict('rows')}"
+)
 ORACLES["chunk_classifier_run"] = f"""
 SELECT doc_id::VARCHAR AS code_sejour, label_id::VARCHAR AS dp_predit, {metric_list('text', '_before')}, {metric_list('text_rw', '_after')}
 FROM ({top_class(RUN_PARTS, 'doc_id')}) JOIN {RUN_NORM} USING (doc_id)"""

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -335,9 +334,8 @@ def chunk_fallback(spark, sf_dir):
 def embed_hashed(spark, sf_dir):
     windows = chunking.add_chunks(docs(spark, sf_dir).select("doc_id", "text"), F.col("text"))
     rows = embedding.embed_hashed(chunking.explode_chunks(windows, ["doc_id"]))
-    values = rows.select("doc_id", "chunk_no", vector_to_array("emb").alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
-    return values.select("doc_id", big("chunk_no"), F.round(norm, 6).alias("norm"), F.size(F.filter("v", lambda x: x > 0)).cast("bigint").alias("n_features"))
+    found = rows.select("doc_id", big("chunk_no"), F.posexplode("emb").alias("i", "x")).where("x <> 0")
+    return found.select("doc_id", "chunk_no", big("i"), sixth("x"))
 
 
 def letter_encoder():
@@ -524,7 +522,7 @@ def _class_vectors(spark, sf_dir) -> DataFrame:
 
 
 def _fitted(rows: DataFrame, weight: str | None = None) -> DataFrame:
-    model = head.fit_head(rows, "embedding", "gold_dp", weight=weight)
+    model = head.fit_head(rows, "embedding", "gold_dp", head.HeadConfig(max_iter=500, tolerance=1e-10), weight)
     applied = head.predict_head(rows, model, "embedding", with_score=True)
     return applied.select("vec_id", "gold_dp", F.col("pred.code").alias("code"), F.round("pred.score", 4).alias("score"))
 
