@@ -5,15 +5,22 @@ from __future__ import annotations
 import os
 import warnings
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
-from pyspark.ml import PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, StringIndexerModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staycoder.operators.pooling import as_vector
 
+OWN_COLUMNS = ("_features", "_logits", "_probability", "_label_id", "_code")  # of a head's stages, dropped from results
+
 
 @dataclass(frozen=True)
 class HeadConfig:
@@ -25,6 +32,21 @@ class HeadConfig:
     aggregation_depth: int = 3
 
 
+class HeadInfo(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Last stage of a head: when it was fitted and which classes it knows. It changes no row."""
+
+    createdAt = Param(Params._dummy(), "createdAt", "time of the fit, UTC", typeConverter=TypeConverters.toString)
+    classes = Param(Params._dummy(), "classes", "labels in id order", typeConverter=TypeConverters.toListString)
+
+    @keyword_only
+    def __init__(self, *, createdAt: str | None = None, classes: list[str] | None = None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset
+
+
 def usable_rows(df: DataFrame, vector: str, label: str) -> DataFrame:
     """Rows that can be learned from: vector present, label neither null nor empty."""
     return df.where(F.col(vector).isNotNull() & F.col(label).isNotNull() & (F.col(label) != ""))
@@ -64,9 +86,9 @@ def fit_head(
         featuresCol="features",
         labelCol="label",
         weightCol="weight",
-        predictionCol="label_id",
-        probabilityCol="probability",
-        rawPredictionCol="logits",
+        predictionCol="_label_id",
+        probabilityCol="_probability",
+        rawPredictionCol="_logits",
         family="auto",
         regParam=1.0 / (config.C * total),
         elasticNetParam=0.0,
@@ -78,29 +100,41 @@ def fit_head(
     model = solver.fit(indexer.transform(rows))
     if model.summary.totalIterations >= config.max_iter:
         warnings.warn(f"the head stopped after {config.max_iter} iterations", stacklevel=2)
-    model.setFeaturesCol("features")
-    names_back = IndexToString(inputCol="label_id", outputCol="code", labels=names)
-    return PipelineModel(stages=[model, names_back])
+    # the summary holds the training table and its session, which must not travel with the model to the tasks
+    model._java_obj.setSummary(df.sparkSession._jvm.scala.Option.empty())
+    model.setFeaturesCol("_features")
+    names_back = IndexToString(inputCol="_label_id", outputCol="_code", labels=names)
+    created = datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
+    return PipelineModel(stages=[model, names_back, HeadInfo(createdAt=created, classes=names)])
 
 
 def predict_head(
     df: DataFrame, model: PipelineModel, vector: str = "emb", out: str = "pred", with_score: bool = False
 ) -> DataFrame:
     """Add `out` = struct(code, score) for every row; the score is filled on request only."""
-    applied = model.transform(df.withColumn("features", as_vector(df, vector)))
-    score = F.lit(None).cast("double")
-    if with_score:
-        from pyspark.ml.functions import vector_to_array
+    applied = model.transform(df.withColumn("_features", as_vector(df, vector)))
+    score = F.array_max(vector_to_array("_probability")) if with_score else F.lit(None).cast("double")
+    prediction = F.struct(F.col("_code").alias("code"), score.alias("score"))
+    return applied.withColumn(out, prediction).drop(*OWN_COLUMNS)
+
 
-        score = F.array_max(vector_to_array("probability"))
-    prediction = F.struct(F.col("code").alias("code"), score.alias("score"))
-    return applied.withColumn(out, prediction).drop("features", "logits", "probability", "label_id", "code")
+def class_logits(df: DataFrame, model: PipelineModel, vector: str = "emb", out: str = "logits") -> DataFrame:
+    """Add the log-probabilities of all classes, in label order, as array<double>."""
+    applied = model.stages[0].transform(df.withColumn("_features", as_vector(df, vector)))
+    logs = F.transform(vector_to_array("_probability"), lambda p: F.ln(F.greatest(p, F.lit(1e-300))))
+    return applied.withColumn(out, logs).drop(*OWN_COLUMNS)
 
 
 def head_labels(model: PipelineModel) -> list[str]:
     return model.stages[1].getLabels()
 
 
+def head_info(model: PipelineModel) -> dict[str, object]:
+    """created_at and classes of a fitted or loaded head."""
+    info = model.stages[-1]
+    return {"created_at": info.getOrDefault("createdAt"), "classes": info.getOrDefault("classes")}
+
+
 def save_head(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -46,6 +46,14 @@ def rewrite_dataset(
     )
 
 
+def recap_name(output_path: str) -> str:
+    """The recap's place beside the output: out.csv and out/ both give out.metrics.json."""
+    base = output_path.rstrip("/")
+    folder, _, name = base.rpartition("/")
+    stem = name.rpartition(".")[0] or name
+    return f"{folder}/{stem}.metrics.json" if folder or base.startswith("/") else f"{stem}.metrics.json"
+
+
 def run_rewrite(
     spark: SparkSession,
     input_path: str,
@@ -72,5 +80,5 @@ def run_rewrite(
     }
     sums = spark.createDataFrame([Row(**observed.get)])
     recap = recap_json(recap_from_sums(sums), input_path, output_path, settings)
-    write_json_row(recap, recap_path or f"{output_path}.metrics.json")
+    write_json_row(recap, recap_path or recap_name(output_path))
     return recap

@@ -1,7 +1,9 @@
-"""Writers. A path is a directory of part files, on any file system Spark can reach."""
+"""Writers, to any file system Spark can reach: tables are folders of part files, JSON artefacts single files."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +26,37 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
     writer.format(fmt).save(path)
 
 
+def write_object(text: DataFrame, path: str) -> None:
+    """Write a one-row table of one text as the file `path`, replacing what is there.
+
+    A task writes it beside its place, and a rename puts it there whole: readers see the old file or the new one.
+    """
+    spark = text.sparkSession
+    if len(text.columns) != 1:
+        raise ValueError(f"an artefact is one text, not the columns {text.columns}")
+    folder = f"{path}.{uuid.uuid4().hex}.tmp"
+    text.coalesce(1).write.text(folder)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    target, scratch = hadoop.Path(path), hadoop.Path(folder)
+    files = scratch.getFileSystem(conf)
+    try:
+        parts = [s.getPath() for s in files.globStatus(hadoop.Path(scratch, "part-*")) if s.getLen() > 0]
+        if len(parts) != 1:
+            raise ValueError(f"an artefact is one row, {path} would have {len(parts)} parts")
+        if files.exists(target) and files.getFileStatus(target).isDirectory():
+            files.delete(target, True)  # a folder of that name cannot be replaced by a rename
+        replace = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        replace[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        context = hadoop.FileContext.getFileContext(files.getUri(), conf)
+        context.rename(files.makeQualified(parts[0]), files.makeQualified(target), replace)
+    finally:
+        files.delete(scratch, True)
+
+
 def write_json_row(df: DataFrame, path: str) -> None:
-    """Write a one-row table as one JSON object (a directory with one part file)."""
-    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(
-        1
-    ).write.mode("overwrite").text(path)
+    """Write a one-row table as the file `path`, one JSON object."""
+    write_object(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")), path)
 
 
 def prediction_columns(

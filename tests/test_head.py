@@ -1,8 +1,10 @@
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from staycoder.operators.head import HeadConfig, fit_head, head_labels, load_head, predict_head, save_head
+from staycoder.operators.head import HeadConfig, fit_head, head_info, head_labels, load_head, predict_head, save_head
 
 
 @pytest.fixture(scope="module")
@@ -68,6 +70,8 @@ def test_save_and_load(points, tmp_path):
     loaded = load_head(str(tmp_path / "head"))
     codes = lambda m: [r.pred.code for r in predict_head(df, m).orderBy("id").collect()]
     assert codes(loaded) == codes(model)
+    assert head_info(loaded) == head_info(model) and head_info(loaded)["classes"] == ["C0", "C1", "C2"]
+    assert datetime.strptime(head_info(loaded)["created_at"], "%Y-%m-%d %H:%M:%S").year >= 2024
     with pytest.raises(FileNotFoundError, match="train mode"):
         load_head(str(tmp_path / "none"))
 
@@ -78,3 +82,14 @@ def test_refuses_one_class_or_none(points):
         fit_head(df.where("gold_dp = 'C1'"))
     with pytest.raises(ValueError, match="no usable"):
         fit_head(df.withColumn("gold_dp", F.lit(None).cast("string")))
+
+
+def test_fits_after_an_observed_run(points):
+    """A model whose training summary travelled to the tasks could not be applied in a session that observed a table."""
+    from pyspark.sql import Observation
+
+    _, df = points
+    seen = Observation("rows")
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 240
+    assert predict_head(df, fit_head(df)).where("pred.code IS NOT NULL").count() == 240

@@ -22,7 +22,7 @@ def test_query_matches_sql(spark, connection, name):
 
 def test_registry():
     assert set(ORACLES) <= set(QUERIES) <= set(entry_module.queries())
-    assert set(QUERIES) - set(ORACLES) == {"embed_hashed", "fit_head", "fit_head_weighted", "frozen_head_run"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):

@@ -1,17 +1,18 @@
 """Whole runs on small files."""
 
-import glob
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from staycoder.operators.chunking import WindowConfig
+from staycoder.operators.embedding import embed_hashed
+from staycoder.operators.head import HeadConfig, class_logits, head_info, load_head
 from staycoder.operators.rewriting import RewriteConfig
 from staycoder.plans.evaluate import run_evaluate
 from staycoder.plans.predict import BACKENDS, PredictConfig, build, run_predict
 from staycoder.plans.rewrite import run_rewrite
-from staycoder.plans.train import TrainConfig, run_prepare
+from staycoder.plans.train import TrainConfig, run_prepare, run_train
 from staycoder.sources.documents import read_table
 from staycoder.streaming.predictions import read_stream, start_predictions
 
@@ -106,7 +107,9 @@ def test_rewrite_run(spark, notes, tmp_path):
     assert recap.n_rows == 60 and recap.metrics_means.after.len_chars <= 21
     mean = sum(int(r.len_chars_before) for r in rows) / 60
     assert recap.metrics_means.before.len_chars == round(mean, 3)
-    saved = json.loads("".join(open(p).read() for p in glob.glob(recap_path + "/part-*")))
+    saved = json.loads(open(recap_path).read())
+    run_rewrite(spark, notes, out, config, shorten)
+    assert json.loads(open(str(tmp_path / "rw.metrics.json")).read())["n_rows"] == 60
     assert saved["rewrite"]["llm_model"] == "toy" and saved["n_rows"] == 60
 
 
@@ -120,14 +123,49 @@ def test_prepare_run(spark, notes, tmp_path, do_chunk):
     windows = spark.read.parquet(out + "/windows/train")
     assert sizes["n_train"] == windows.count() and (sizes["n_train"] > 54) == do_chunk
     assert {r.label_id for r in windows.collect()} == {0, 1, 2}
-    body = lambda name: json.loads("".join(open(p, encoding="utf-8").read() for p in glob.glob(f"{out}/{name}/part-*")))
+    body = lambda name: json.loads(open(f"{out}/{name}", encoding="utf-8").read())
     assert body("label_map.json") == {"C34.1": 0, "E11": 1, "I21.4": 2}
     assert body("split_stats.json")["val_counts"] == {"C34.1": 2, "E11": 2, "I21.4": 2}
     assert body("config_train.json")["n_val"] == sizes["n_val"] and body("config_train.json")["seed"] == 42
+    assert body("config_train.json")["input"] == notes and body("config_train.json")["C"] == 1.0
     weights = [r.weight for r in spark.read.parquet(out + "/class_weights").collect()]
     assert weights == [1.0] * 3
 
 
+def test_recap_names():
+    from staycoder.plans.rewrite import recap_name
+
+    names = {"out.csv": "out.metrics.json", "/a/b.c/out": "/a/b.c/out.metrics.json", "hdfs://h/x/out.csv/": "hdfs://h/x/out.metrics.json", "/o.csv": "/o.metrics.json"}
+    assert {k: recap_name(k) for k in names} == names
+
+
+@pytest.mark.parametrize("do_chunk", [False, True])
+def test_train_run(spark, notes, tmp_path, do_chunk):
+    out = str(tmp_path / "train")
+    config = TrainConfig(do_chunk=do_chunk, max_length=40, windows=WindowConfig(chunk_size=12, overlap=2), val_frac=0.2, head=HeadConfig(C=10.0))
+    result = run_train(spark, notes, out, config)
+    assert result["accuracy"] > 0.9 and 0 < result["eval_loss"] < 1 and (result["n_train"] > 48) == do_chunk
+    assert json.loads(open(f"{out}/eval.json").read()) == result
+    predicted = spark.read.parquet(f"{out}/predictions/val").collect()
+    assert len(predicted) == 12 and sum(r.code == r.code_dp for r in predicted) == round(12 * result["accuracy"])
+    assert head_info(load_head(f"{out}/final/head"))["classes"] == sorted(TOPICS)
+    # the loss by hand, from the stored windows and weights
+    weights = {r.label_id: r.weight for r in spark.read.parquet(out + "/class_weights").collect()}
+    model = load_head(f"{out}/final/head")
+    windows = class_logits(embed_hashed(spark.read.parquet(f"{out}/windows/val")), model).collect()
+    total = sum(-r.logits[r.label_id] * weights[r.label_id] for r in windows)
+    assert result["eval_loss"] == pytest.approx(total / sum(weights[r.label_id] for r in windows), rel=1e-5)
+
+
+def test_train_run_without_validation_rows_or_any(spark, tmp_path):
+    (tmp_path / "few.csv").write_text("text,code_dp\nun mot,A\ndeux mots,B\n")
+    result = run_train(spark, str(tmp_path / "few.csv"), str(tmp_path / "out"))
+    assert result["n_val"] == 0 and result["eval_loss"] is None and result["accuracy"] is None
+    (tmp_path / "none.csv").write_text("text,code_dp\n,A\n")
+    with pytest.raises(ValueError, match="text and a label"):
+        run_prepare(spark, str(tmp_path / "none.csv"), str(tmp_path / "out"))
+
+
 def test_stream_gives_the_batch_result(spark, notes, tmp_path):
     def generator():
         return lambda prompts: [p + " K35" for p in prompts]

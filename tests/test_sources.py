@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from staycoder.operators.checks import require_columns, require_rows
 from staycoder.sources import shared
 from staycoder.sources.documents import as_documents, distinct_names, read_table, training_rows
-from staycoder.sources.sinks import label_map_json, prediction_output, recap_json, split_stats_json, write_json_row, write_table
+from staycoder.sources.sinks import label_map_json, prediction_output, recap_json, split_stats_json, write_json_row, write_object, write_table
 
 CSV = 'code_sejour,text,code_dp\n001,"l1\nl2 ""q"", x",C34.1\n,NA,\n003,,I21.4\n'
 
@@ -74,8 +74,7 @@ def test_prediction_output(spark):
 
 
 def read_json(path):
-    text = "".join(open(p, encoding="utf-8").read() for p in sorted(glob.glob(f"{path}/part-*")))
-    return json.loads(text)
+    return json.loads(open(path, encoding="utf-8").read())
 
 
 def test_json_artefacts(spark, tmp_path):
@@ -163,3 +162,14 @@ def test_csv_headers_with_repeated_and_empty_names(spark, tmp_path):
     (empty / "x.csv").write_text("")
     with pytest.raises(ValueError, match="no header"):
         read_table(spark, str(empty))
+
+
+def test_artefacts_are_files_and_are_replaced(spark, tmp_path):
+    path = tmp_path / "a.json"
+    path.mkdir()
+    (path / "part-0").write_text("old")
+    for n in (1, 2):
+        write_json_row(spark.range(n, n + 1), str(path))
+        assert read_json(path) == {"id": n} and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["a.json"]
+    with pytest.raises(ValueError, match="one text"):
+        write_object(spark.range(1).selectExpr("id", "id AS b"), str(path))

@@ -314,6 +314,7 @@ CLASS_WEIGHTS = f"(SELECT y, (inv / avg(inv) OVER ())::FLOAT::DOUBLE AS w FROM (
 HEAD_ROWS = f"SELECT id AS vec_id, y AS gold_dp, code, round(score, 4) AS score FROM {softmax_predict('rows')} JOIN rows USING (id)"
 ORACLES["fit_head"] = softmax_fit(f"SELECT *, 1.0::DOUBLE AS w FROM ({CODED})") + HEAD_ROWS
 ORACLES["fit_head_weighted"] = softmax_fit(f"SELECT * FROM ({CODED}) JOIN {CLASS_WEIGHTS} USING (y)") + HEAD_ROWS
+ORACLES["predict_saved_head"] = softmax_fit(f"SELECT *, 1.0::DOUBLE AS w FROM ({CODED})", C=0.2) + HEAD_ROWS
 
 # ---- scoring -------------------------------------------------------------------------------------
 
@@ -399,6 +400,25 @@ ORACLES["frozen_head_run"] = (
     softmax_fit(f"SELECT doc_id AS id, lang AS y, x, 1.0::DOUBLE AS w FROM {RUN_VECTORS} JOIN documents USING (doc_id)", gap=1e-8)
     + f"SELECT id::VARCHAR AS code_sejour, code AS dp_predit FROM {softmax_predict('rows')}"
 )
+FIRST_WINDOWS = rf"""(
+SELECT doc_id, 0 AS chunk_no, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:128], ' ') AS chunk_text
+FROM documents)"""
+TRAIN_WEIGHTS = f"""(
+SELECT lang, (inv / avg(inv) OVER ())::FLOAT::DOUBLE AS w
+FROM (SELECT lang, 1.0::DOUBLE / count(*) AS inv FROM {SPLIT} WHERE split = 'train' GROUP BY lang))"""
+
+
+def train_rows(part: str) -> str:
+    return f"""
+SELECT doc_id AS id, lang AS y, list(coalesce(x, 0) ORDER BY i) AS x, any_value(w) AS w
+FROM (SELECT doc_id, lang, w, unnest(range(256)) AS i FROM {SPLIT} JOIN {TRAIN_WEIGHTS} USING (lang) WHERE split = '{part}')
+LEFT JOIN {hashed(FIRST_WINDOWS, 'doc_id, chunk_no')} USING (doc_id, i) GROUP BY doc_id, lang"""
+
+
+ORACLES["weighted_train_run"] = (
+    softmax_fit(train_rows("train"), C=2.0)
+    + f", val AS ({train_rows('val')}) SELECT id AS doc_id, y AS lang, code, round(score, 4) AS score FROM {softmax_predict('val')} JOIN val USING (id)"
+)
 ORACLES["chunk_classifier_run"] = f"""
 SELECT doc_id::VARCHAR AS code_sejour, label_id::VARCHAR AS dp_predit, {metric_list('text', '_before')}, {metric_list('text_rw', '_after')}
 FROM ({top_class(RUN_PARTS, 'doc_id')}) JOIN {RUN_NORM} USING (doc_id)"""

@@ -21,7 +21,7 @@ from staycoder.operators import (
     scoring,
     splitting,
 )
-from staycoder.plans import predict, rewrite
+from staycoder.plans import predict, rewrite, train
 from staycoder.plans.evaluate import run_evaluate
 from staycoder.sources import documents as sources
 from staycoder.sources import sinks
@@ -523,6 +523,10 @@ def _class_vectors(spark, sf_dir) -> DataFrame:
 
 def _fitted(rows: DataFrame, weight: str | None = None) -> DataFrame:
     model = head.fit_head(rows, "embedding", "gold_dp", head.HeadConfig(max_iter=500, tolerance=1e-10), weight)
+    return _applied(rows, model)
+
+
+def _applied(rows: DataFrame, model) -> DataFrame:
     applied = head.predict_head(rows, model, "embedding", with_score=True)
     return applied.select("vec_id", "gold_dp", F.col("pred.code").alias("code"), F.round("pred.score", 4).alias("score"))
 
@@ -540,6 +544,15 @@ def fit_head_weighted(spark, sf_dir):
     return _fitted(rows.join(weights, "gold_dp"), "weight")
 
 
+@query
+def predict_saved_head(spark, sf_dir):
+    """A head with a stronger penalty, saved, loaded and applied."""
+    rows = _class_vectors(spark, sf_dir)
+    path = f"{shared_folder(spark)}/head-{uuid.uuid4().hex}"
+    head.save_head(head.fit_head(rows, "embedding", "gold_dp", head.HeadConfig(C=0.2, max_iter=500, tolerance=1e-10)), path)
+    return _applied(rows, head.load_head(path))
+
+
 @query
 def predict_linear(spark, sf_dir):
     """Nearest class mean by dot product: the weights are the class means, their number is the model's size."""
@@ -666,6 +679,15 @@ def frozen_head_run(spark, sf_dir):
     return sinks.prediction_output(_notes(spark, sf_dir).transform(predict.build(config)))
 
 
+@query
+def weighted_train_run(spark, sf_dir):
+    """Label map, split, windows, class weights, weighted head; its predictions for the validation documents."""
+    out = f"{shared_folder(spark)}/train-{uuid.uuid4().hex}"
+    config = train.TrainConfig(text="text", label="lang", max_length=130, head=head.HeadConfig(C=2.0, max_iter=1000, tolerance=1e-10))
+    train.run_train(spark, f"{sf_dir}/documents.parquet", out, config, fmt="parquet", key="doc_id")
+    return spark.read.parquet(f"{out}/predictions/val").select("doc_id", "lang", "code", F.round("score", 4).alias("score"))
+
+
 @query
 def chunk_classifier_run(spark, sf_dir):
     """Normalise, rewrite, measure before and after, window, classify windows, pool, label."""
