@@ -94,7 +94,7 @@ def count_abbreviations(text: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str]:
-    """Characters whose decomposition, without marks, is one other character."""
+    """Characters whose decomposition, without marks, is one other character; behind them all marks, which have no target."""
     source, target = [], []
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
@@ -104,13 +104,51 @@ def _accent_table() -> tuple[str, str]:
         if len(bare) == 1 and bare[0] != char:
             source.append(char)
             target.append(bare[0])
-    return "".join(source), "".join(target)
+    marks = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Mn"]
+    return "".join(source + marks), "".join(target)
+
+
+@lru_cache(maxsize=1)
+def _long_decompositions() -> dict[str, str]:
+    """Characters, Hangul syllables aside, whose decomposition without marks is several characters."""
+    found = {}
+    for code in [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, sys.maxunicode + 1)]:
+        char = chr(code)
+        if unicodedata.decomposition(char):
+            bare = "".join(c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn")
+            if len(bare) > 1:
+                found[char] = bare
+    return found
+
+
+def _expanded(char: Column) -> Column:
+    """A character, or the several ones it decomposes into: Hangul by its arithmetic, the others by a map."""
+    jamo = lambda first, n: F.array(*(F.lit(chr(first + i)) for i in range(n)))
+    tails = F.array(F.lit(""), *(F.lit(chr(0x11A8 + i)) for i in range(27)))
+    syllable = F.ascii(char) - 0xAC00
+    place = lambda e: e.cast("int")
+    hangul = F.concat(
+        F.get(jamo(0x1100, 19), place(F.floor(syllable / 588))),
+        F.get(jamo(0x1161, 21), place(F.floor(syllable % 588 / 28))),
+        F.get(tails, place(syllable % 28)),
+    )
+    table = F.create_map(*(F.lit(x) for pair in _long_decompositions().items() for x in pair))
+    other = F.coalesce(F.try_element_at(table, char), char)
+    return F.when(syllable.between(0, 11171), hangul).otherwise(other)
 
 
 def strip_accents(text: Column) -> Column:
-    """Decompose and drop combining marks (é -> e; ł, ø, œ, ß stay)."""
+    """Decompose and drop combining marks (é -> e; ł, ø, œ, ß stay).
+
+    Characters that decompose into several (Hangul, some Indic vowels and compatibility forms) are expanded first,
+    in the texts that hold one; all others take one native pass. Which characters are marks is read from Python's
+    tables, which know more recent ones than the JVM's.
+    """
     source, target = _accent_table()
-    return F.regexp_replace(F.translate(text, source, target), r"\p{Mn}+", "")
+    several = f"[\uac00-\ud7a3{''.join(_long_decompositions())}]"
+    expanded = F.array_join(F.transform(F.split(text, ""), _expanded), "")
+    whole = F.when(F.rlike(text, F.lit(several)), expanded).otherwise(text)
+    return F.translate(whole, source, target)
 
 
 def add_lexicon(

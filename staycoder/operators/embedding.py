@@ -1,4 +1,4 @@
-"""Chunk vectors: a hashed bag of words, or the user's encoder."""
+"""Chunk vectors: a hashed bag of words, the user's encoder of texts, or the user's encoder of tokens."""
 
 from __future__ import annotations
 
@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from staycoder.functions.text import word_tokens
 from staycoder.functions.vectors import l2_normalize, with_value
+from staycoder.operators.checks import require_choice
 from staycoder.operators.scoring import score
 
+TOKEN_POOLINGS = ("mean", "first")
+
 
 def word_bucket(word: Column, buckets: int) -> Column:
     """Place of a word among `buckets`: its first eight md5 digits as a number, modulo their count."""
@@ -69,3 +72,33 @@ def embed_with_model(
     raw = f"_{out}_raw"
     encoded = chunks.withColumn(raw, score(F.col(text), model_factory, "array<double>", batch_size))
     return encoded.withColumn(out, l2_normalize(F.col(raw))).drop(raw)
+
+
+def pooled_tokens(
+    factory: Callable[[], Callable], pooling: str = "mean", last_layers: int = 4
+) -> Callable[[], Callable]:
+    """Model factory of chunk vectors from one of token vectors.
+
+    The token model maps texts to (hidden states, mask): a sequence of layers, each texts x tokens x components, and
+    texts x tokens of 0 and 1. `mean` averages the last layer over tokens with mask 1 (none: the zero vector), `first` the
+    first tokens of the last layers. Pooling happens beside the model: a chunk's token vectors of all layers can be
+    megabytes, of which one vector goes back to Spark. `operators.pooling` has the same poolings for stored token tables.
+    """
+    require_choice(pooling, TOKEN_POOLINGS, "token pooling")
+
+    def make():
+        import numpy as np
+
+        model = factory()
+
+        def encode(texts):
+            hidden, mask = model(texts)
+            if pooling == "first":
+                return list(np.mean([np.asarray(layer)[:, 0, :] for layer in hidden[-last_layers:]], axis=0))
+            weight = np.asarray(mask, dtype="float64")[:, :, None]
+            total = (np.asarray(hidden[-1]) * weight).sum(axis=1)
+            return list(total / np.maximum(weight.sum(axis=1), 1))
+
+        return encode
+
+    return make

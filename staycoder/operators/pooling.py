@@ -11,11 +11,13 @@ import warnings
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from staycoder.functions.vectors import with_value
 from staycoder.operators.checks import require_choice
 
+MEDIAN_BLOCK = 32  # components that are sorted together
 STRATEGIES = ("mean", "max", "median", "first")
 
 
@@ -62,22 +64,29 @@ def first_token_mean(
 
 
 def _component_medians(chunks: DataFrame, doc: str, value: str, carry: list[str]) -> DataFrame:
-    """Exact median per component. Values are ranked per (document, component) by a sort that can
-    spill, so the components of a long document go to different tasks and none is held in memory.
-    A group is no larger than the number of windows that one note's text can give."""
-    component = Window.partitionBy(doc, "_i")
-    values = chunks.select(doc, *carry, F.posexplode_outer(as_array(chunks, value)).alias("_i", "_x"))
-    values = values.where("_i is not null")
-    ranked = values.withColumn("_rank", F.row_number().over(component.orderBy("_x"))).withColumn(
-        "_n", F.count(F.lit(1)).over(component)
+    """Exact median per component: vectors are cut into blocks, and each note's blocks are transposed and sorted.
+
+    A group is one block of one note's windows: its size is bounded by the note's own text, and the blocks of a long
+    note go to different tasks."""
+    numbers = lambda v: F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / F.lit(float(MEDIAN_BLOCK))).cast("int") - 1, F.lit(0)))
+    blocks = with_value(
+        as_array(chunks, value),
+        lambda v: F.transform(numbers(v), lambda b: F.slice(v, b * MEDIAN_BLOCK + 1, F.lit(MEDIAN_BLOCK))),
     )
-    middle = ranked.where(
-        F.col("_rank").between(F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2))
-    )
-    medians = middle.groupBy(doc, "_i").agg(F.avg("_x").alias("_x"), *[F.first(c).alias(c) for c in carry])
-    ordered = F.array_sort(F.collect_list(F.struct("_i", "_x")))
-    return medians.groupBy(doc).agg(
-        F.transform(ordered, lambda e: e["_x"]).alias("_pooled"), *[F.first(c).alias(c) for c in carry]
+    parts = chunks.select(doc, *carry, F.posexplode_outer(blocks).alias("_b", "_part")).where("_part is not null")
+    gathered = parts.groupBy(doc, "_b").agg(F.collect_list("_part").alias("_parts"), *[F.first(c).alias(c) for c in carry])
+
+    def median(i: Column) -> Column:
+        values = F.filter(F.transform("_parts", lambda part: F.get(part, i)), lambda x: x.isNotNull())
+        middle = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
+        return with_value(F.sort_array(values), middle)
+
+    width = F.array_max(F.transform("_parts", lambda part: F.size(part)))
+    medians = F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), median)).otherwise(F.array().cast("array<double>"))
+    per_block = gathered.select(doc, *carry, F.struct("_b", medians.alias("_m")).alias("_block"))
+    ordered = F.array_sort(F.collect_list("_block"))
+    return per_block.groupBy(doc).agg(
+        F.flatten(F.transform(ordered, lambda block: block["_m"])).alias("_pooled"), *[F.first(c).alias(c) for c in carry]
     )
 
 

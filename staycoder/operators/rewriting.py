@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from staycoder.functions.prompts import rewrite_messages
 from staycoder.functions.text import first_present, sentences, strip, word_tokens
-from staycoder.operators.scoring import score
+from staycoder.operators.scoring import GenerationOptions, score
 
 
 @dataclass(frozen=True)
 class RewriteConfig:
-    """Sampling options are read by the model factory; they are kept here for the recap."""
+    """The options of generation reach the model factory; `seed` None means that the model draws by itself."""
 
     enabled: bool = False
     target_words: int | None = None
@@ -23,9 +23,14 @@ class RewriteConfig:
     max_new_tokens: int = 128
     temperature: float = 0.3
     top_p: float = 0.95
+    repetition_penalty: float = 1.1
     batch_size: int = 16
     seed: int | None = 42
 
+    @property
+    def options(self) -> GenerationOptions:
+        return GenerationOptions(self.max_new_tokens, self.temperature, self.top_p, self.repetition_penalty)
+
 
 def base_text(df: DataFrame) -> Column:
     """The normalised text where there is one, even if empty; else the text."""
@@ -35,8 +40,9 @@ def base_text(df: DataFrame) -> Column:
 def rewrite(
     df: DataFrame,
     config: RewriteConfig = RewriteConfig(),
-    model_factory: Callable[[], Callable] | None = None,
+    model_factory: Callable[[GenerationOptions], Callable] | None = None,
     out: str = "text_rw",
+    row_key: Column | None = None,
 ) -> DataFrame:
     """Add the rewritten text. Disabled, or without a model, it is a copy; empty text stays empty.
 
@@ -47,7 +53,8 @@ def rewrite(
     if not config.enabled or model_factory is None:
         return df.withColumn(out, base)
     messages = rewrite_messages(base, config.target_words)
-    answer = score(messages, model_factory, "string", config.batch_size, config.seed)
+    key = F.xxhash64(base) if row_key is None else row_key
+    answer = score(messages, model_factory, "string", config.batch_size, config.seed, config.options, key)
     # two projections: an expression around the model call could run the model more than once
     answered = df.withColumn(out, answer)
     return answered.withColumn(out, F.coalesce(strip(F.col(out)), F.lit("")))

@@ -1,7 +1,9 @@
 """Models supplied by the user, run on batches inside the Python workers.
 
-A model factory takes no argument and returns a callable `list of inputs -> sequence of outputs`
-(with `seed`, the callable also gets a numpy random generator as second argument). The factory
+A model factory returns a callable `list of inputs -> sequence of outputs`. It takes no argument, or the sampling
+options if the step has some (rewriters and generators do). With a seed the callable also gets a list of numpy random
+generators, one for each input: an input's generator depends on the seed and the input's row key only, so
+that sampled output is the same however rows are split and batched. The factory
 runs once per Python worker and scoring step, not per task or batch; load weights there.
 """
 
@@ -9,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,22 +24,38 @@ from staycoder.functions.vectors import argmax_id, softmax_at_max
 PREDICTION_TYPE = "struct<code:string,score:double>"
 
 
+@dataclass(frozen=True)
+class GenerationOptions:
+    """What a generating model is asked for; temperature 0 means no sampling."""
+
+    max_new_tokens: int = 64
+    temperature: float = 0.0
+    top_p: float = 1.0
+    repetition_penalty: float = 1.0
+
+
 def score(
     inputs: Column,
-    model_factory: Callable[[], Callable],
+    model_factory: Callable[..., Callable],
     return_type: str,
     batch_size: int = 16,
     seed: int | None = None,
+    options: GenerationOptions | None = None,
+    row_key: Column | None = None,
 ) -> Column:
     """Model outputs for a column; a null input is not sent to the model and gives null.
 
-    Only the input column travels to Python. Batches run over row borders of documents, so explode
+    `options` reach the factory in the worker, as an object with the same fields. `row_key` (a long; by default the
+    hash of the input, so that equal inputs draw alike) matters with a seed only.
+
+    Only the input column, and with a seed the key, travels to Python. Batches run over row borders of documents, so explode
     chunks first. The result is marked non-deterministic: Spark neither repeats nor reorders it
     within one plan, but a second action calls the model again; store it (`write_once`) before
     using it twice. Make the result a column of its own before computing with it.
     """
     size = max(1, int(batch_size))
     step_id, kept_models = uuid.uuid4().hex, 2
+    given_options = [] if options is None else [asdict(options)]
 
     def load():
         """The step's model, kept for the later tasks of a reused worker; the oldest ones make room."""
@@ -48,34 +67,45 @@ def score(
         if step_id not in models:
             while len(models) >= kept_models:
                 del models[next(iter(models))]
-            models[step_id] = model_factory()
+            models[step_id] = model_factory(*(types.SimpleNamespace(**o) for o in given_options))
         return models[step_id]
 
-    def run(batches):
+    def answers(column, keys):
         import numpy as np
         import pandas as pd
-        from pyspark import TaskContext
 
         model = load()
-        extra = ()
-        if seed is not None:
-            extra = (np.random.default_rng([seed, TaskContext.get().partitionId()]),)
+        given = [i for i, value in enumerate(column) if value is not None]
+        results = [None] * len(column)
+        for start in range(0, len(given), size):
+            rows = given[start : start + size]
+            extra = ()
+            if keys is not None:
+                own = ([seed % 2**64, int(keys.iloc[i]) % 2**64] for i in rows)
+                extra = ([np.random.Generator(np.random.Philox(key=np.array(k, dtype=np.uint64))) for k in own],)
+            for i, result in zip(rows, model([column.iloc[i] for i in rows], *extra), strict=True):
+                results[i] = result
+        return pd.Series(results, dtype=object)
+
+    def run(batches):
         for column in batches:
-            given = [i for i, value in enumerate(column) if value is not None]
-            results = [None] * len(column)
-            for start in range(0, len(given), size):
-                rows = given[start : start + size]
-                for i, result in zip(rows, model([column.iloc[i] for i in rows], *extra), strict=True):
-                    results[i] = result
-            yield pd.Series(results, dtype=object)
-
-    # the annotations of an iterator Pandas UDF, set by hand so that the closure stays self-contained
+            yield answers(column, None)
+
+    def run_seeded(batches):
+        for column, keys in batches:
+            yield answers(column, keys)
+
+    # the annotations of an iterator Pandas UDF, set by hand so that the closures stay self-contained
     from collections.abc import Iterator
 
     import pandas as pd
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, return_type).asNondeterministic()(inputs)
+    run_seeded.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    if seed is None:
+        return F.pandas_udf(run, return_type).asNondeterministic()(inputs)
+    key = F.xxhash64(inputs) if row_key is None else row_key.cast("long")
+    return F.pandas_udf(run_seeded, return_type).asNondeterministic()(inputs, F.coalesce(key, F.lit(0)))
 
 
 def label_predictions(
@@ -118,19 +148,23 @@ def linear_scorer(weights, intercepts) -> Callable[[], Callable]:
 
 def generate_codes(
     df: DataFrame,
-    model_factory: Callable[[], Callable],
+    model_factory: Callable[[GenerationOptions], Callable],
     texts: tuple[str, ...] = ("text_rw", "text_norm", "text"),
     out: str = "pred",
     fallback: str = "full",
     batch_size: int = 16,
     seed: int | None = None,
+    options: GenerationOptions = GenerationOptions(),
+    row_key: Column | None = None,
 ) -> DataFrame:
     """Prompt a generative model for the code of each note and extract it from the answer.
 
-    The model returns prompt and answer in one text. The note is the first filled of `texts`.
+    The model returns prompt and answer in one text. The note is the first filled of `texts`. The seed is
+    passed on only if the options ask for sampling.
     """
     note = first_filled(*[F.col(t) for t in texts if t in df.columns])
-    generated = score(coding_prompt(note), model_factory, "string", batch_size, seed)
+    seed = seed if options.temperature > 0 else None
+    generated = score(coding_prompt(note), model_factory, "string", batch_size, seed, options, row_key)
     answered = df.withColumn("_generated", generated)
     code = answer_code(F.col("_generated"), fallback)
     prediction = F.struct(code.alias("code"), F.lit(None).cast("double").alias("score"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from staycoder.functions import fixed
 from staycoder.operators.checks import require_rows
@@ -28,7 +29,11 @@ def evaluate(
         gold, pred, gold_id, pred_id, gold_col, pred_col, upper, strip_dot, null_ids_match
     )
     counts = write_once(counts, "confusion-counts")
-    require_rows(counts, "no matched pair with a gold and a predicted code")
+    if counts.isEmpty():  # which of the two it is matters only now
+        ids = [df.select(F.col(c).cast("string").alias(n)) for df, c, n in ((gold, gold_id, "g"), (pred, pred_id, "p"))]
+        same = F.col("g").eqNullSafe(F.col("p")) if null_ids_match else F.col("g") == F.col("p")
+        require_rows(ids[0].join(ids[1], same, "left_semi"), f"no matched pair: no {gold_id} of the gold table is a {pred_id} of the predictions")
+        raise ValueError("no matched pair has both a gold and a predicted code")
     return eval_scores(counts, (average,)), classification_report(counts)
 
 

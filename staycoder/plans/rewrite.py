@@ -59,7 +59,7 @@ def run_rewrite(
     input_path: str,
     output_path: str,
     config: RewriteConfig,
-    model_factory: Callable[[], Callable] | None = None,
+    model_factory: Callable[..., Callable] | None = None,
     text: str = fixed.COL_TEXT,
     out_text: str = "text_rw",
     recap_path: str | None = None,

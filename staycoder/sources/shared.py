@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,11 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_row_key() -> Column:
+    """Key of a row of a parquet table: its file (as a 64-bit hash of the path) and its place in it. Nothing is copied."""
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def with_row_key(df: DataFrame, key: str = "doc_key") -> DataFrame:
     """Give every row a unique key that stays the same however often the table is read.
 

@@ -30,7 +30,7 @@ def test_entry(spark):
     assert row.n_pairs == 200 and row.f1 > 0.5
 
 
-PLUGIN = {"embed_model", "plugin_scoring", "rewrite_model", "generated_code", "predict_linear", "chunk_classifier_run", "generation_run"}
+PLUGIN = {"token_encoder_run", "rewrite_options", "generation_options", "embed_model", "plugin_scoring", "rewrite_model", "generated_code", "predict_linear", "chunk_classifier_run", "generation_run"}
 
 
 @pytest.mark.parametrize("name", QUERIES)

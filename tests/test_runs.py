@@ -9,11 +9,12 @@ from staycoder.operators.chunking import WindowConfig
 from staycoder.operators.embedding import embed_hashed
 from staycoder.operators.head import HeadConfig, class_logits, head_info, load_head
 from staycoder.operators.rewriting import RewriteConfig
-from staycoder.plans.evaluate import run_evaluate
+from staycoder.plans.evaluate import evaluate, run_evaluate
 from staycoder.plans.predict import BACKENDS, PredictConfig, build, run_predict
 from staycoder.plans.rewrite import run_rewrite
 from staycoder.plans.train import TrainConfig, run_prepare, run_train
 from staycoder.sources.documents import read_table
+from staycoder.sources.shared import file_row_key
 from staycoder.streaming.predictions import read_stream, start_predictions
 
 TOPICS = {"C34.1": "tumeur du poumon toux fumeur", "I21.4": "infarctus douleur thoracique coronaire", "E11": "diabète glycémie insuline"}
@@ -70,8 +71,8 @@ def test_classifier_run_with_metrics(spark, notes, tmp_path):
         words = ["poumon", "infarctus", "diabète"]
         return lambda texts: [[float(t.count(w)) for w in words] for t in texts]
 
-    def rewriter():
-        return lambda batch, rng: [m[1]["content"].split("\n\n")[-1] + f" {rng.random()}" for m in batch]
+    def rewriter(options):
+        return lambda batch, draws: [m[1]["content"].split("\n\n")[-1] + f" {d.random()}" for m, d in zip(batch, draws)]
 
     labels = spark.createDataFrame(list(enumerate(TOPICS)), "label_id int, label string")
     config = PredictConfig(
@@ -88,16 +89,50 @@ def test_classifier_run_with_metrics(spark, notes, tmp_path):
 
 
 def test_generation_run(spark, notes, tmp_path):
-    def generator():
+    def generator(options):
         return lambda prompts: [p + (" I21.4" if "infarctus" in p else " ?") for p in prompts]
 
     summary = run_predict(spark, PredictConfig(backend="generation", generator=generator), notes, str(tmp_path / "out"))
     assert summary == {"n_documents": 60, "n_predicted": 20}
 
 
+def test_parquet_notes_need_no_copy(spark, notes, tmp_path, monkeypatch):
+    import staycoder.plans.predict as module
+
+    def generator(options):
+        return lambda prompts: [p + " I21.4" for p in prompts]
+
+    folder = str(tmp_path / "notes")
+    read_table(spark, notes).repartition(3).write.parquet(folder)
+    monkeypatch.setattr(module, "with_row_key", None)
+    config = PredictConfig(backend="generation", generator=generator)
+    assert run_predict(spark, config, folder, str(tmp_path / "out"), input_format="parquet")["n_documents"] == 60
+    keyed = spark.read.parquet(folder).withColumn("k", file_row_key())
+    assert keyed.select("k").distinct().count() == 60
+    first = {r.k: r.code_sejour for r in keyed.collect()}
+    assert {r.k: r.code_sejour for r in keyed.repartition(5).where("code_dp = 'E11'").collect()}.items() <= first.items()
+
+    def classifier():
+        return lambda texts: [[1.0, float(len(t))] for t in texts]
+
+    out = str(tmp_path / "classified")
+    config = PredictConfig(backend="chunk_classifier", classifier=classifier, with_scores=False, windows=WindowConfig(chunk_size=6, overlap=1))
+    run_predict(spark, config, folder, out, input_format="parquet")
+    assert read_table(spark, out).count() == 60
+
+
+def test_evaluate_says_what_is_missing(spark, tmp_path):
+    gold = spark.createDataFrame([("1", "E11"), ("2", "")], "code_sejour string, code_dp string")
+    pred = lambda *rows: spark.createDataFrame(rows, "code_sejour string, dp_predit string")
+    with pytest.raises(ValueError, match="no code_sejour of the gold table"):
+        evaluate(gold, pred(("7", "E11")))
+    with pytest.raises(ValueError, match="both a gold and a predicted code"):
+        evaluate(gold, pred(("2", "E11"), ("1", None)))
+
+
 def test_rewrite_run(spark, notes, tmp_path):
-    def shorten():
-        return lambda batch, rng: [m[1]["content"][-20:] + str(rng.integers(10)) for m in batch]
+    def shorten(options):
+        return lambda batch, draws: [m[1]["content"][-20:] + str(d.integers(10)) for m, d in zip(batch, draws)]
 
     out, recap_path = str(tmp_path / "rw"), str(tmp_path / "recap")
     config = RewriteConfig(enabled=True, target_words=30, model_name="toy")
@@ -167,7 +202,7 @@ def test_train_run_without_validation_rows_or_any(spark, tmp_path):
 
 
 def test_stream_gives_the_batch_result(spark, notes, tmp_path):
-    def generator():
+    def generator(options):
         return lambda prompts: [p + " K35" for p in prompts]
 
     docs = read_table(spark, notes).select(F.monotonically_increasing_id().alias("doc_key"), F.col("code_sejour").alias("id_sejour"), F.coalesce("text", F.lit("")).alias("text"))

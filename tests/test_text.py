@@ -140,3 +140,16 @@ def test_whitespace_class_is_pythons(one_column):
     blanks = [chr(c) for c in range(0x3100) if chr(c).isspace()]
     assert one_column(text.strip, [f"{b}x{b}" for b in blanks]) == ["x"] * len(blanks)
     assert fixed.METRICS[0] == "len_chars"
+
+
+def test_strip_accents_of_every_character(one_column):
+    import sys
+    import unicodedata
+
+    known = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    lines = ["x".join(known[i : i + 97]) for i in range(0, len(known), 97)]
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+    # one at a time: in a row of marks their order would play a part
+    expected = ["x".join(plain(c) for c in known[i : i + 97]) for i in range(0, len(known), 97)]
+    wrong = [(a, b) for a, b in zip(one_column(text.strip_accents, lines), expected, strict=True) if a != b]
+    assert not wrong, wrong[0]

@@ -39,6 +39,19 @@ def test_pooling_carries_and_completes(spark, chunks):
         assert got == {d: (f"t{d}", False) if d < 6 else (None, True) for d in range(8)}
 
 
+def test_median_of_long_ragged_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(d, i, rng.normal(size=70 + (i % 3 if d == 1 else 0)).tolist()) for d in (0, 1) for i in range(41 + d)] + [(2, 0, None), (3, 0, [])]
+    df = spark.createDataFrame(rows, "doc int, chunk_no int, emb array<double>").repartition(7)
+    got = {r.doc: r.logits for r in pool_logits(df, "doc", "emb", "median").collect()}
+    for doc in (0, 1):
+        vectors = [v for d, _, v in rows if d == doc]
+        assert got[doc] == pytest.approx([statistics.median(v[i] for v in vectors if i < len(v)) for i in range(max(map(len, vectors)))])
+    assert set(got) == {0, 1, 3} and got[3] == []
+    plan = pool_chunks(df, "doc", "emb", "median")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan
+
+
 def test_unknown_strategies(chunks):
     _, df = chunks
     with pytest.raises(ValueError, match="pooling strategy"):

@@ -292,6 +292,12 @@ ORACLES["rewrite_extract"] = extracted("documents", "doc_id", has_word("s", "das
 ORACLES["rewrite_model"] = f"""
 SELECT doc_id, CASE WHEN lang = 'es' THEN '' ELSE trim({text_sql(prompts.REWRITE_REQUEST + ' (~50 mots) :')}
     || chr(10) || chr(10) || trim(text, {BLANKS}), {BLANKS}) END AS text_rw FROM documents"""
+REQUEST = f"(trim({text_sql(prompts.REWRITE_REQUEST + ' (~50 mots) :')} || chr(10) || chr(10) || trim(text, {BLANKS}), {BLANKS}))"
+ORACLES["rewrite_options"] = rf"""
+SELECT doc_id, CASE WHEN lang = 'es' THEN '' ELSE array_to_string(regexp_split_to_array({REQUEST}, '\s+')[-12:], ' ') || ' @0.7' END AS text_rw
+FROM documents"""
+ORACLES["generation_options"] = f"""
+SELECT doc_id, 'I' || (10 + length(p) % 90)::VARCHAR AS code FROM (SELECT doc_id, {CODING % f"trim(text, {BLANKS})"} AS p FROM documents)"""
 ORACLES["generated_code"] = f"""
 SELECT doc_id, coalesce({icd10("split_part(gen, 'DP:', -1)")}, {icd10('gen')}, '') AS code
 FROM (SELECT doc_id, p || CASE WHEN length(p) % 2 = 1 THEN ' I21.4.' ELSE ' rien' END AS gen
@@ -400,6 +406,11 @@ ORACLES["frozen_head_run"] = (
     softmax_fit(f"SELECT doc_id AS id, lang AS y, x, 1.0::DOUBLE AS w FROM {RUN_VECTORS} JOIN documents USING (doc_id)", gap=1e-8)
     + f"SELECT id::VARCHAR AS code_sejour, code AS dp_predit FROM {softmax_predict('rows')}"
 )
+LONG_WORDS = "array_to_string(list_filter(string_split(chunk_text, ' '), lambda w: length(w) > 1), ' ')"
+ORACLES["token_encoder_run"] = f"""
+SELECT doc_id AS doc_key, i, round(avg(v[i + 1] / greatest(sqrt(list_dot_product(v, v)), 1e-12))::FLOAT::DOUBLE, 6) AS x
+FROM (SELECT doc_id, unnest(range(4)) AS i, {letters(LONG_WORDS)} AS v FROM ({windows(RUN_NORM, 'doc_id', 'text_rw', 48, 40, 'text')}))
+GROUP BY doc_id, i"""
 FIRST_WINDOWS = rf"""(
 SELECT doc_id, 0 AS chunk_no, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:128], ' ') AS chunk_text
 FROM documents)"""

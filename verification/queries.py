@@ -476,8 +476,8 @@ def rewrite_extract(spark, sf_dir):
 
 
 def tail_writer():
-    def factory():
-        def model(messages, rng):
+    def factory(options):
+        def model(messages, draws):
             return [m[1]["content"] for m in messages]
 
         return model
@@ -492,8 +492,47 @@ def rewrite_model(spark, sf_dir):
     return rewriting.rewrite(notes, config, tail_writer()).select("doc_id", "text_rw")
 
 
+def short_writer():
+    """The last words it is given, as many as it may write, and its temperature."""
+
+    def factory(options):
+        def model(messages, draws):
+            words = [m[1]["content"].split()[-options.max_new_tokens :] for m in messages]
+            return [" ".join([*w, f"@{options.temperature}"]) for w in words]
+
+        return model
+
+    return factory
+
+
+@query
+def rewrite_options(spark, sf_dir):
+    notes = docs(spark, sf_dir).select("doc_id", F.when(F.col("lang") == "es", "").otherwise(F.col("text")).alias("text"))
+    config = rewriting.RewriteConfig(enabled=True, target_words=50, max_new_tokens=12, temperature=0.7)
+    return rewriting.rewrite(notes, config, short_writer()).select("doc_id", "text_rw")
+
+
+def cut_writer():
+    """A code that depends on the prompt, written up to the number of new tokens (here characters)."""
+
+    def factory(options):
+        def model(prompts):
+            return [p + f" I{10 + len(p) % 90}.4"[: options.max_new_tokens] for p in prompts]
+
+        return model
+
+    return factory
+
+
+@query
+def generation_options(spark, sf_dir):
+    notes = docs(spark, sf_dir).select("doc_id", "text")
+    options = scoring.GenerationOptions(max_new_tokens=4)
+    return scoring.generate_codes(notes, cut_writer(), options=options).select("doc_id", F.col("pred.code").alias("code"))
+
+
 def echo_writer():
-    def factory():
+    def factory(options):
         def model(prompts):
             return [p + (" I21.4." if len(p) % 2 else " rien") for p in prompts]
 
@@ -705,6 +744,34 @@ def chunk_classifier_run(spark, sf_dir):
     return out.select(flat_as_big(out))
 
 
+def letter_tokens():
+    """Tokens are words; every layer counts their letters, words of one letter are masked."""
+
+    def factory():
+        import numpy as np
+
+        def model(texts):
+            words = [t.split(" ") for t in texts]
+            width = max(map(len, words))
+            mask, counts = np.zeros((len(texts), width)), np.zeros((len(texts), width, 4))
+            for i, row in enumerate(words):
+                mask[i, : len(row)] = [len(w) > 1 for w in row]
+                counts[i, : len(row)] = [[w.count(c) for c in "aeiz"] for w in row]
+            return [counts * layer for layer in range(1, 6)], mask
+
+        return model
+
+    return factory
+
+
+@query
+def token_encoder_run(spark, sf_dir):
+    """Normalise, window, encode tokens, pool them and then the windows: the vectors of a run."""
+    config = predict.PredictConfig(mode="train", token_encoder=letter_tokens(), windows=SMALL_WINDOWS)
+    notes = _notes(spark, sf_dir).withColumn("text_norm", text.normalize_text(F.col("text")))
+    return components(predict.document_vectors(notes, config), [predict.KEY], "emb")
+
+
 @query
 def generation_run(spark, sf_dir):
     config = predict.PredictConfig(backend="generation", normalise=True, generator=echo_writer())
