@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from staycoder.functions.codes import normalize_code
 from staycoder.operators.checks import require_choice, require_columns
+from staycoder.sources.shared import write_once
 
+CODES_AT_ONCE = 1000
 AVERAGES = ("micro", "macro", "weighted")
 
 
@@ -36,7 +38,8 @@ def matched_pairs(
 
     Repeated ids multiply, and by default a missing id matches a missing id. The multiplicity is a
     count: equal rows of a side are merged before the join, so a very frequent id costs as many rows
-    as it has distinct codes.
+    as it has distinct codes. The codes of an id with more than 1,000 gold ones are dealt by code to several tasks,
+    and its predicted ones go to each of them.
     """
     sides = []
     for df, what, id_col, code_col, name in (
@@ -46,7 +49,19 @@ def matched_pairs(
         side = _side(df, what, id_col, code_col, upper, strip_dot, null_ids_match)
         counted = side.groupBy("id", "code").agg(F.count(F.lit(1)).alias(f"_{name}_n"))
         sides.append(counted.withColumnsRenamed({"id": f"_{name}_id", "code": f"{name}_code"}))
-    pairs = sides[0].join(sides[1], F.col("_gold_id").eqNullSafe(F.col("_pred_id")))
+    gold_side, pred_side = sides
+    wide = gold_side.groupBy(F.col("_gold_id").alias("_id")).agg(F.ceil(F.count(F.lit(1)) / CODES_AT_ONCE).cast("int").alias("_parts"))
+    wide = write_once(wide.where("_parts > 1"), "wide-ids")
+    parts = F.coalesce("_parts", F.lit(1))
+    # the size of the result is not seen in the bytes of the sides, so the tasks are not left to their size
+    tasks = int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = lambda name, part: F.struct(F.col(name).isNull().alias("none"), F.coalesce(name, F.lit("")).alias("id"), part.cast("int").alias("part")).alias("_cell")
+    dealt = gold_side.join(wide, F.col("_gold_id").eqNullSafe(F.col("_id")), "left").select(
+        "_gold_id", "gold_code", "_gold_n", cell("_gold_id", F.pmod(F.xxhash64("gold_code"), parts))
+    )
+    copied = pred_side.join(wide, F.col("_pred_id").eqNullSafe(F.col("_id")), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    copied = copied.select("pred_code", "_pred_n", cell("_pred_id", F.col("_part")))
+    pairs = dealt.repartition(tasks, "_cell").join(copied.repartition(tasks, "_cell"), "_cell")
     return pairs.select(
         F.col("_gold_id").alias("id"),
         "gold_code",

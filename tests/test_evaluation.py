@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from staycoder.operators.evaluation import AVERAGES, classification_report, confusion_counts, eval_scores, matched_pairs, per_class_scores
 from staycoder.plans.evaluate import evaluate
@@ -75,3 +76,13 @@ def test_errors(spark):
         confusion_counts(gold, pred, "gid", "pid", "nope", "p")
     with pytest.raises(ValueError, match="no matched pair"):
         evaluate(gold, pred, *ARGS)
+
+
+def test_pairs_of_a_hot_id_are_spread(spark):
+    gold = spark.range(6000).selectExpr("if(id < 5000, null, string(id)) AS gid", "concat('G', id) AS g")
+    pred = spark.range(3000).selectExpr("if(id < 2000, null, string(id + 3000)) AS pid", "concat('P', id) AS p")
+    pairs = matched_pairs(gold, pred, *ARGS).withColumn("task", F.spark_partition_id())
+    found = pairs.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.sum("n_pairs").alias("pairs")).collect()
+    assert sum(r.n for r in found) == sum(r.pairs for r in found) == 5000 * 2000 + 1000
+    assert len(found) >= 3 and max(r.n for r in found) < 8_000_000
+    assert pairs.where("id IS NULL").select("gold_code", "pred_code").distinct().count() == 5000 * 2000
