@@ -11,12 +11,15 @@ stripes in parallel and skips those that cannot hold a wanted id or range.
 
 Null text is empty; it has the end id alone. Null ids come first; rows with equal ids stay separate
 rows, ordered by text. Other columns are ignored. Text is split at blanks and line feeds before it is
-encoded, where the vocabulary's own pattern always splits: each piece has the same ids anywhere, so a
-task encodes a piece once.
+encoded, where the vocabulary's own pattern always splits, and between ASCII letters or digits and marks if that pattern
+splits there too: each piece has the same ids anywhere, so a task encodes a piece once. What a task has
+learnt is dropped when it ends.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import zlib
 
@@ -25,8 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PIECES_KEPT = 1_000_000  # distinct pieces whose ids a worker remembers before it starts anew
-SLICE_BYTES = 3 << 20
+PIECES_KEPT = 1_000_000  # distinct pieces whose ids a task remembers before it starts anew
+SLICE_BYTES = 6 << 20
+RANGE_BYTES = 256 << 20  # text of one range of ids, and so of one file
+
+# fixed value: a pre-tokenizer pattern that separates letters, single digits and runs of marks
+LETTERS_DIGITS_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def load_tokenizer(path: str):
@@ -36,20 +43,34 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def splits_marks(tokenizer) -> bool:
+    """Whether the vocabulary's own pattern ends a token between an ASCII letter or digit and a mark."""
+    first = json.loads(tokenizer.to_str())["pre_tokenizer"] or {}
+    first = first["pretokenizers"][0] if first.get("type") == "Sequence" else first
+    return first.get("type") == "Split" and first["pattern"].get("Regex") == LETTERS_DIGITS_MARKS
+
+
+def ignores_case(tokenizer) -> bool:
+    """Whether the vocabulary lower-cases every text."""
+    normalizer = json.loads(tokenizer.to_str())["normalizer"] or {}
+    return any(n.get("type") == "Lowercase" for n in normalizer.get("normalizers", [normalizer]))
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, each distinct blank-separated piece encoded once.
+    """Ids of whole texts by the tokenizers library, each distinct piece encoded once.
 
     `pieces` may only be used with vocabularies that drop white space and never join across it.
     """
 
     def __init__(self, path: str, pieces: bool = True):
         self.tokenizer = load_tokenizer(path)
-        self.pieces = pieces
-        self._forget()
+        self.pieces, self.marks, self.fold = pieces, splits_marks(self.tokenizer), ignores_case(self.tokenizer)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.forget()
 
     @staticmethod
     def of_worker(path: str, pieces: bool = True) -> "Encoder":
-        """The Python worker's encoder, kept for its later tasks."""
+        """The Python worker's encoder: the vocabulary stays loaded for its later tasks."""
         import sys
         import types
 
@@ -58,10 +79,10 @@ class Encoder:
             kept["encoder"], kept["made_for"] = Encoder(path, pieces), (path, pieces)
         return kept["encoder"]
 
-    def _forget(self):
+    def forget(self):
         self.known: dict[str, int] = {}
-        self.ids = np.zeros(0, dtype=np.int32)
-        self.starts = np.zeros(1, dtype=np.int64)
+        self.ids = np.zeros(1 << 16, dtype=np.int32)
+        self.starts = np.zeros(1 << 14, dtype=np.int64)  # where the ids of each known piece begin, and where the last ones end
 
     def _ids(self, texts: list[str], at_once: int = 4_000):
         """(ids one after another, number of ids of each text)."""
@@ -69,26 +90,46 @@ class Encoder:
         for i in range(0, len(texts), at_once):
             encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False)]
             n.extend(map(len, encoded))
-            flat.append(np.fromiter((x for ids in encoded for x in ids), dtype=np.int32))
+            flat.append(np.fromiter(itertools.chain.from_iterable(encoded), dtype=np.int32))
         return np.concatenate(flat), np.array(n, dtype=np.int64)
 
-    def encode(self, texts):
-        """Of a pyarrow string array: (ids one after another, number of ids of each text)."""
+    def _learn(self, fresh: list[str]) -> None:
+        ids, n = self._ids(fresh)
+        old, end = len(self.known), int(self.starts[len(self.known)])
+        self.known.update(zip(fresh, range(old, old + len(fresh)), strict=True))
+        self.ids = _grown(self.ids, end + len(ids))
+        self.ids[end : end + len(ids)] = ids
+        self.starts = _grown(self.starts, old + len(fresh) + 1)
+        self.starts[old + 1 : old + len(fresh) + 1] = end + np.cumsum(n)
+
+    def _split(self, texts):
+        """Texts to lists of pieces. No composed character crosses a border of two ASCII characters.
+
+        A text that holds an added token of the vocabulary, in any case, is split at blanks only.
+        """
         import pyarrow.compute as pc
 
+        whole = texts
+        if self.fold:
+            texts = pc.ascii_lower(texts)
+        if self.marks:  # a mark run that ends in an apostrophe stays with what follows: 's and the like are tokens
+            texts = pc.replace_substring_regex(texts, r"([A-Za-z0-9])([!-/:-@\[-`{-~])", "\\1\n\\2")
+            texts = pc.replace_substring_regex(texts, r"([!-&(-/:-@\[-`{-~])([A-Za-z0-9])", "\\1\n\\2")
+        for token in self.added if self.fold or self.marks else ():
+            texts = pc.if_else(pc.match_substring(whole, token, ignore_case=True), whole, texts)
+        return pc.split_pattern_regex(texts, "[ \n]+")
+
+    def encode(self, texts):
+        """Of a pyarrow string array: (ids one after another, number of ids of each text)."""
         if not self.pieces:
             return self._ids(texts.to_pylist(), 64)
-        split = pc.split_pattern_regex(texts, "[ \n]+")
+        split = self._split(texts)
         coded = split.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
         if len(self.known) > PIECES_KEPT:
-            self._forget()
-        fresh = [p for p in names if p not in self.known]
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-        ids, n = self._ids(fresh)
-        self.ids = np.concatenate([self.ids, ids])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
-        place = np.fromiter((self.known[p] for p in names), dtype=np.int64, count=len(names))
+            self.forget()
+        self._learn([name for name in names if name not in self.known])
+        place = np.fromiter(map(self.known.__getitem__, names), dtype=np.int64, count=len(names))
         piece = place[coded.indices.to_numpy()] if len(names) else np.zeros(0, dtype=np.int64)
         length = self.starts[piece + 1] - self.starts[piece]
         ends = np.concatenate(([0], np.cumsum(length)))
@@ -97,6 +138,15 @@ class Encoder:
         return flat, np.diff(ends[edges])
 
 
+def _grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or one of at least twice its length with the same beginning."""
+    if size <= len(array):
+        return array
+    out = np.zeros(max(size, 2 * len(array)), dtype=array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 def _slices(batch, size: int):
     """Parts of a batch of about `size` text bytes, one row at least."""
     import pyarrow.compute as pc
@@ -117,24 +167,27 @@ def _tokenize(path: str, end_id: int, pieces: bool):
 
         encoder, part = Encoder.of_worker(path, pieces), TaskContext.get().partitionId()
         row_no = start = 0
-        for batch in batches:
-            for rows in _slices(batch, SLICE_BYTES):
-                ids, n = encoder.encode(rows.column("text"))
-                offsets = np.concatenate(([0], np.cumsum(n + 1)))
-                flat = np.full(offsets[-1], end_id, dtype=np.int32)
-                flat[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("doc_id"),
-                        pa.array(np.full(len(n), part, dtype=np.int32)),
-                        pa.array(row_no + np.arange(len(n))),
-                        pa.array(start + offsets[:-1]),
-                        pa.array(n + 1),
-                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)),
-                    ],
-                    names=["doc_id", "part", "row_no", "local_start", "n_tokens", "ids"],
-                )
-                row_no, start = row_no + len(n), start + int(offsets[-1])
+        try:
+            for batch in batches:
+                for rows in _slices(batch, SLICE_BYTES):
+                    ids, n = encoder.encode(rows.column("text"))
+                    offsets = np.concatenate(([0], np.cumsum(n + 1)))
+                    flat = np.full(offsets[-1], end_id, dtype=np.int32)
+                    flat[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            rows.column("doc_id"),
+                            pa.array(np.full(len(n), part, dtype=np.int32)),
+                            pa.array(row_no + np.arange(len(n))),
+                            pa.array(start + offsets[:-1]),
+                            pa.array(n + 1),
+                            pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)),
+                        ],
+                        names=["doc_id", "part", "row_no", "local_start", "n_tokens", "ids"],
+                    )
+                    row_no, start = row_no + len(n), start + int(offsets[-1])
+        finally:
+            encoder.forget()
 
     return run
 
@@ -152,12 +205,14 @@ def write_tokens(
 ) -> None:
     """Write the ids of every text, with `end_id` appended, to the ORC folder `path`.
 
-    Texts are dealt into `ranges` id ranges of about equal row counts (default: the session's shuffle
-    partitions) and encoded after that, so that only texts are shuffled and each is encoded once.
+    Texts are dealt into `ranges` id ranges of about equal row counts (default: one for RANGE_BYTES of text, and
+    two for every core at least) and encoded after that, so that only texts are shuffled and each is encoded once.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if ranges is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(-(-size // RANGE_BYTES), 2 * spark.sparkContext.defaultParallelism)
     ordered = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
     kind = docs.schema[doc_id].dataType.simpleString()
     tokens = ordered.mapInArrow(
