@@ -11,6 +11,11 @@ from verification.solver import softmax_fit, softmax_predict
 ORACLES: dict[str, str] = {}
 
 
+# the fixed patterns, as RE2 takes them
+CODE, DOTTED, UPPER = (p.removeprefix("(?U)") for p in (fixed.ICD10, fixed.DOTTED_ABBREVIATION, fixed.UPPER_ABBREVIATION))
+UPPER = UPPER.replace(r"\b", "")
+
+
 def text_sql(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -42,8 +47,8 @@ def metric_list(t: str, suffix: str = "") -> str:
         "lexicon_size": f"len(list_distinct(list_transform({words(t)}, lambda x: strip_accents(lower(x)))))::BIGINT",
         "n_sections": rf"len(list_filter(regexp_split_to_array({t}, '\n{{2,}}'), lambda x: regexp_matches(x, '\S')))::BIGINT",
         "n_abbr": (
-            f"(len(list_filter(regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-ZÀ-Ý0-9]{{2,}}')))"
-            rf" + len(regexp_extract_all({t}, '\b(?:[A-Za-z]\.){{2,}}[A-Za-z]?\b')))::BIGINT"
+            f"(len(list_filter(regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '{UPPER}')))"
+            f" + len(regexp_extract_all({t}, '{DOTTED}')))::BIGINT"
         ),
     }
     return ",\n".join(f"{items[m]} AS {m}{suffix}" for m in fixed.METRICS)
@@ -54,7 +59,7 @@ def normalized(t: str) -> str:
 
 
 def icd10(t: str) -> str:
-    return rf"nullif(regexp_extract({t}, '\b[A-TV-Z][0-9]{{2}}(?:\.[0-9A-TV-Z]{{0,4}})?\b'), '')"
+    return f"nullif(regexp_extract({t}, '{CODE}'), '')"
 
 
 def coded(t: str, n: str) -> str:
