@@ -5,10 +5,13 @@
 2. Prefix principle: two sets with Jaccard >= t share one of the first n - ceil(t*n) + 1 shingles of
    each in any common order. The order puts shingles of many documents last, so that shared
    boilerplate seldom opens a tile. A tile holds the classes that have a prefix shingle in common
-   and sizes in the same band (factor 4, with an overlap of 1/t, so that no pair falls between).
-3. Round one compares every class of a tile with the tile's leader only, which is linear. Later rounds
-   compare the classes of a tile that are not yet connected, in cells of bounded size, so a group of
-   thousands of near copies never becomes all its pairs. No pair that could join two components is left out.
+   and sizes in the same band (factor 4, with an overlap of 1/t, so that no pair falls between). Of tiles with the
+   same classes (the shingles of a shared passage, or of near copies) one is kept.
+3. Round one compares every class of a tile with the tile's leader only, which is linear. Later rounds compare the
+   classes of a tile that are not yet connected, in cells of bounded size, by their bitmaps; a cell names for each
+   class a few of the best partners in other components, which are verified before the next round. Each round asks
+   for eight times as many, leaves out what has failed, and goes on with the tiles that had a partner to name. So a
+   group of thousands of near copies never becomes all its pairs, and no pair that could join two components is left out.
 4. A pair is first bounded: a bitmap has the parity of the hashes that fall on each bit, so two sets
    differ in at least as many shingles as their bitmaps differ in bits. What can still reach t is
    verified by intersecting the sorted shingle arrays.
@@ -27,7 +30,7 @@ from staycoder.llm.hashing import buffers, by_owner, mix, shingles, words
 from staycoder.sources.shared import write_once
 
 HEAVY_SHARE = 0.0005  # a shingle of more than this share of the documents goes to the end of the order
-FIRST_PARTNERS = 8
+FIRST_PARTNERS = 2  # a class names so many in the first round of cells
 CELL_MEMBERS = 1024  # larger tiles are compared in square cells of so many rows a side; none is left out
 HEAVY_AT_MOST = 200_000  # how many of those are told to the tasks (1.6 MB); the order never affects results
 
@@ -197,18 +200,20 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return with_texts.select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, percent), "a long, b long")
 
 
-def cell_pairs(ids, n, comp, own, bitmaps: list[bytes], percent: int):
-    """(a, b, k) of the pairs of a cell, in different components, that may reach the threshold.
+def cell_pairs(ids, n, comp, own, bitmaps: list[bytes], tried: list, percent: int, partners: int):
+    """(a, b) of the pairs of a cell, in different components, that may reach the threshold and are not in `tried`.
 
-    k ranks a's partners in one other component by their bound, from 1.
+    Every class has at most `partners`, those in other components with the best bounds: first one of each component,
+    then second ones and so on.
     """
     order = np.argsort(n, kind="stable")
     ids, n, comp, own = ids[order], n[order], comp[order], own[order]
     maps = [np.frombuffer(bitmaps[i], dtype=np.uint8) for i in order]
+    tried = [tried[i] for i in order]
     size = np.array([len(m) for m in maps])
     same_part = own.min() == own.max()
     last = np.searchsorted(n, n * 100 // percent, side="right")
-    out = [np.zeros((0, 4), dtype=np.int64)]
+    out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
     for small in np.unique(size):  # sizes ascend with n: a partner's map is as long or twice as long
         rows = np.flatnonzero(size == small)
         reach = np.arange(rows[0], int(last[rows].max()))
@@ -221,19 +226,20 @@ def cell_pairs(ids, n, comp, own, bitmaps: list[bytes], percent: int):
             differ = np.bitwise_count(table[j - reach[0]] ^ table[i - reach[0]]).sum(axis=1, dtype=np.int64)
             most = np.minimum((n[i] + n[j] - differ) // 2, n[i])
             ok = 100 * most >= percent * (n[i] + n[j] - most)
+            if tried[i]:
+                ok &= ~np.isin(ids[j], np.array(tried[i], dtype=np.int64))
             if ok.any():
                 j, most = j[ok], most[ok]
-                out.append(np.column_stack([np.full(len(j), i), j, comp[j], most]))
-    found = np.concatenate(out)
-    found = found[np.lexsort((-found[:, 3], found[:, 2], found[:, 0]))]
-    new = np.ones(len(found), dtype=bool)
-    new[1:] = (found[1:, 0] != found[:-1, 0]) | (found[1:, 2] != found[:-1, 2])
-    start = np.maximum.accumulate(np.where(new, np.arange(len(found)), 0))
-    a, b = ids[found[:, 0]], ids[found[:, 1]]
-    return np.minimum(a, b), np.maximum(a, b), np.arange(len(found)) - start + 1
+                by_comp = np.lexsort((-most, comp[j]))
+                new = np.flatnonzero(np.diff(comp[j[by_comp]], prepend=comp[j[by_comp[0]]] - 1))
+                place = np.arange(len(j)) - np.repeat(new, np.diff(np.append(new, len(j))))
+                best = by_comp[np.lexsort((-most[by_comp], place))[:partners]]
+                out.append((np.full(len(best), ids[i]), ids[j[best]]))
+    a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+    return np.minimum(a, b), np.maximum(a, b)
 
 
-def _cell_pairs(percent: int):
+def _cell_pairs(percent: int, partners: int):
     """Rows sorted by cell; a cell has at most about twice CELL_MEMBERS rows."""
 
     def run(batches):
@@ -243,13 +249,15 @@ def _cell_pairs(percent: int):
             cell = table.column("cell").to_numpy()
             edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
             columns = [table.column(c).to_numpy() for c in ("id", "n", "comp", "own")]
-            maps = table.column("bitmap").to_pylist()
-            parts = [([], [], [])]
+            tile = table.column("tile").to_numpy()
+            maps, tried = table.column("bitmap").to_pylist(), table.column("tried").to_pylist()
+            parts = [(np.zeros(0, dtype=np.int64),) * 3]
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if hi - lo > 1:
-                    parts.append(cell_pairs(*[c[lo:hi] for c in columns], maps[lo:hi], percent))
-            a, b, k = (np.concatenate([np.asarray(p[i], dtype=np.int64) for p in parts]) for i in range(3))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(k.astype(np.int32))], names=["a", "b", "k"])
+                    a, b = cell_pairs(*[c[lo:hi] for c in columns], maps[lo:hi], tried[lo:hi], percent, partners)
+                    parts.append((np.full(len(a), tile[lo]), a, b))
+            tiles, a, b = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            return pa.RecordBatch.from_arrays([pa.array(tiles), pa.array(a), pa.array(b)], names=["tile", "a", "b"])
 
         held = None
         for batch in batches:
@@ -318,7 +326,9 @@ def jaccard_groups(
     postings = postings.select(
         "id", "n", F.explode(F.when(F.col("low") == F.col("high"), F.array("low")).otherwise(F.array("low", "high"))).alias("band"), "shingle"
     ).select("id", F.xxhash64("shingle", "band").alias("tile"))
-    tiles = postings.groupBy("tile").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("leader")).where("k > 1")
+    same = [F.bit_xor(F.xxhash64("id", F.lit(salt))).alias(f"of_{salt}") for salt in (1, 2)]
+    tiles = postings.groupBy("tile").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("leader"), *same).where("k > 1")
+    tiles = tiles.groupBy("k", "leader", "of_1", "of_2").agg(F.min("tile").alias("tile")).select("tile", "k", "leader")
     sizes = classes.select("id", "n")
     members = write_once(postings.join(tiles, "tile"), "tiles")
 
@@ -340,25 +350,34 @@ def jaccard_groups(
     links = write_once(_verify(write_once(led, "possible-pairs"), texts, width, percent), "links")
     label = components(links)
     # members of tiles that hold several components, in cells of bounded size, compared by their bitmaps
-    now = members.select("tile", "id", "k").join(label.withColumnRenamed("node", "id"), "id", "left")
-    now = now.select("tile", "id", "k", F.coalesce("component", "id").alias("comp"))
-    mixed = now.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tile")
-    now = now.join(mixed, "tile").join(classes.select("id", "n", "bitmap"), "id")
-    parts = F.ceil(F.col("k") / CELL_MEMBERS)
-    own = F.pmod(F.xxhash64("id"), parts)
-    now = now.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    cell = F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other"))
-    cells = now.select(cell.alias("cell"), "id", "n", "comp", "own", "bitmap").repartition("cell").sortWithinPartitions("cell")
-    pairs = write_once(cells.mapInArrow(_cell_pairs(percent), "a long, b long, k int").dropDuplicates(["a", "b"]), "cross-pairs")
-    # first a few for each class and other component, which mostly settles it; then all that is still open
-    first = pairs.where(F.col("k") <= FIRST_PARTNERS).select("a", "b")
-    links = links.unionByName(write_once(_verify(first, texts, width, percent), "links"))
-    label = components(links)
-    rest = pairs.where(F.col("k") > FIRST_PARTNERS)
-    rest = rest.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left")
-    rest = rest.where(~F.coalesce("la", "a").eqNullSafe(F.coalesce("lb", "b"))).select("a", "b")
-    links = links.unionByName(write_once(_verify(rest, texts, width, percent), "links"))
-    label = components(links)
+    wide = classes.select("id", "n", "bitmap")
+    failed, active, partners = None, members, FIRST_PARTNERS
+    while True:
+        now = active.select("tile", "id", "k").join(label.withColumnRenamed("node", "id"), "id", "left")
+        now = now.select("tile", "id", "k", F.coalesce("component", "id").alias("comp"))
+        mixed = now.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tile")
+        now = now.join(mixed, "tile").join(wide, "id")
+        if failed is None:
+            now = now.withColumn("tried", F.array().cast("array<long>"))
+        else:
+            both = failed.unionByName(failed.toDF("b", "a"))
+            now = now.join(both.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("tried")), "id", "left")
+        parts = F.ceil(F.col("k") / CELL_MEMBERS)
+        own = F.pmod(F.xxhash64("id"), parts)
+        now = now.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        cell = F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other"))
+        cells = now.select(cell.alias("cell"), "tile", "id", "n", "comp", "own", "bitmap", "tried").repartition("cell").sortWithinPartitions("cell")
+        found = write_once(cells.mapInArrow(_cell_pairs(percent, partners), "tile long, a long, b long"), "cell-pairs")
+        pairs = write_once(found.select("a", "b").distinct(), "cross-pairs")
+        if pairs.isEmpty():
+            break
+        good = write_once(_verify(pairs, texts, width, percent), "links")
+        links = links.unionByName(good)
+        label = components(links)
+        bad = pairs.join(good, ["a", "b"], "left_anti")
+        failed = write_once(bad if failed is None else failed.unionByName(bad), "failed-pairs")
+        active = write_once(members.join(found.select("tile").distinct(), "tile", "left_semi"), "open-tiles")
+        partners *= 8
 
     named = least.withColumnRenamed("h1", "node").join(label, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))

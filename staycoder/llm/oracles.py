@@ -153,10 +153,32 @@ FROM nodes d JOIN subtree s USING (prefix) LEFT JOIN children k USING (prefix) L
 LEFT JOIN nodes p ON d.depth > 0 AND p.prefix = left(d.prefix, 32 * (d.depth - 1))
 """
 
+OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM w
+), n AS (
+  SELECT doc_id, count(x) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id
+), links AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS common FROM s l JOIN s r USING (x) WHERE l.doc_id <> r.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 80 * (na.n + nb.n - common)
+), reach(doc_id, least) AS (
+  SELECT doc_id, doc_id FROM w
+  UNION
+  SELECT links.b, reach.least FROM reach JOIN links ON links.a = reach.doc_id WHERE reach.least < links.b
+)
+SELECT doc_id, n AS n_shingles, least AS component_id
+FROM n JOIN (SELECT doc_id, min(least) AS least FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": OP1,
     "op5_exact_topk": OP5,
     "op6_warc": OP6,
+    "op7_jaccard_join": OP7,
     "op12_filter_audit": OP12,
     "op13_conversation_trie": OP13,
 }

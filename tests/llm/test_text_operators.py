@@ -8,10 +8,11 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from staycoder.llm.components import components
-from staycoder.llm.jaccard_join import jaccard_groups
+from staycoder.llm.jaccard_join import cell_pairs, jaccard_groups, parity_bitmap
 from staycoder.llm.line_dedup import normalised, remove_lines, removed_lines, with_simhash
 from staycoder.llm.pii import find_pii, pii_digest
 from staycoder.llm.queries import tokenizer_path
@@ -99,6 +100,54 @@ def test_jaccard_groups(spark):
     assert jaccard_groups(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_a_large_group_of_near_copies(spark):
+    """3,000 near copies: no two need reach the threshold, the links of the group do."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(400)}" for _ in range(90)]
+    rows = [(i, " ".join(f"x{i}y{k}" if k in swapped else w for k, w in enumerate(base))) for i, swapped in ((i, {rng.randrange(90) for _ in range(rng.choice([0, 1, 1, 2, 3, 9]))}) for i in range(3000))]
+    rows += [(5000 + i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(60)) + " " + " ".join(base[:20])) for i in range(300)]  # only a passage in common
+    index, sets = {}, []
+    for _, text in rows:
+        w = text.split()
+        sets.append({index.setdefault(tuple(w[k : k + 5]), len(index)) for k in range(len(w) - 4)})
+    often = np.array([0] * len(index))
+    for s in sets:
+        often[list(s)] += 1
+    column = np.cumsum(often > 1) - 1
+    table_of = np.zeros((len(rows), int((often > 1).sum())), dtype=np.float32)
+    for i, s in enumerate(sets):
+        table_of[i, [column[x] for x in s if often[x] > 1]] = 1
+    both, size = table_of @ table_of.T, np.array([len(s) for s in sets])
+    linked = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(linked, True)
+    label = np.array([i for i, _ in rows])
+    while True:
+        least = np.where(linked, label[None, :], label.max()).min(axis=1)
+        if (least == label).all():
+            break
+        label = least
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_groups(table(spark, rows)).collect()}
+    assert got == {i: (int(size[k]), int(label[k])) for k, (i, _) in enumerate(rows)}
+    assert len(set(label.tolist())) > 100 and (label == 0).sum() > 1500
+
+
+def test_cells_name_few_partners_and_none_twice():
+    rng = np.random.default_rng(3)
+    n = np.full(200, 64)
+    maps = [parity_bitmap(np.r_[np.arange(60), 1000 + 4 * i + np.arange(4)].astype(np.uint64), 128) for i in range(200)]
+    ids, comp, own = np.arange(200) * 3, rng.integers(0, 9, 200), np.zeros(200, dtype=np.int64)
+    tried = [None] * 200
+    seen = set()
+    for partners in (2, 16, 200):
+        a, b = cell_pairs(ids, n, comp, own, maps, tried, 80, partners)
+        found = set(zip(a.tolist(), b.tolist(), strict=True))
+        assert len(found) == len(a) <= 200 * partners and not found & seen
+        assert all(comp[x // 3] != comp[y // 3] for x, y in found)
+        seen |= found
+        tried = [[y for x, y in seen if x == i] + [x for x, y in seen if y == i] for i in ids.tolist()]
+    assert len(seen) == sum(comp[i] != comp[j] for i in range(200) for j in range(i))  # in the end all of them
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7), (5, 4)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
