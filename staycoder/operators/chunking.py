@@ -53,7 +53,7 @@ def window_count(n_tokens: Column, config: WindowConfig) -> Column:
 def add_chunks(
     df: DataFrame, text: Column, config: WindowConfig = WindowConfig(), out: str = "chunks"
 ) -> DataFrame:
-    """Add the window texts of `text` as array column `out`; empty text gives an empty array."""
+    """Add the window texts of `text` as array column `out`; empty and blank text gives an empty array."""
     tokens, count = f"_{out}_tokens", f"_{out}_count"
 
     def window_text(i: Column) -> Column:
@@ -61,8 +61,11 @@ def add_chunks(
 
     numbers = F.sequence(F.lit(0), F.col(count) - 1)
     windows = F.when(F.col(count) > 0, F.transform(numbers, window_text))
+    found = config.tokenizer(text)
+    if config.tokenizer is not whitespace_tokens:  # a model's tokenizer may have tokens for blanks
+        found = F.when(F.rlike(text, F.lit(rf"(?U)[^{fixed.WS}]")), found).otherwise(F.array().cast("array<string>"))
     return (
-        df.withColumn(tokens, config.tokenizer(text))
+        df.withColumn(tokens, found)
         .withColumn(count, window_count(F.size(tokens), config))
         .withColumn(out, F.coalesce(windows, F.array().cast("array<string>")))
         .drop(tokens, count)

@@ -70,11 +70,10 @@ def score(
             models[step_id] = model_factory(*(types.SimpleNamespace(**o) for o in given_options))
         return models[step_id]
 
-    def answers(column, keys):
+    def answers(model, column, keys):
         import numpy as np
         import pandas as pd
 
-        model = load()
         given = [i for i, value in enumerate(column) if value is not None]
         results = [None] * len(column)
         for start in range(0, len(given), size):
@@ -88,12 +87,14 @@ def score(
         return pd.Series(results, dtype=object)
 
     def run(batches):
+        model = load()
         for column in batches:
-            yield answers(column, None)
+            yield answers(model, column, None)
 
     def run_seeded(batches):
+        model = load()
         for column, keys in batches:
-            yield answers(column, keys)
+            yield answers(model, column, keys)
 
     # the annotations of an iterator Pandas UDF, set by hand so that the closures stay self-contained
     from collections.abc import Iterator

@@ -63,3 +63,10 @@ def test_windows_are_cut_once(spark):
     rows = spark.createDataFrame([(1, "a")], "doc int, text string")
     plan = explode_chunks(add_chunks(rows, F.col("text")), ["doc"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_blank_texts_have_no_windows_with_any_tokenizer(spark):
+    config = WindowConfig(chunk_size=5, overlap=1, special_tokens=0, tokenizer=lambda t: F.split(t, ""), joiner="")
+    rows = spark.createDataFrame([(0, " \n\xa0"), (1, ""), (2, None), (3, " ab")], "i int, text string")
+    got = {r.i: r.chunks for r in add_chunks(rows, F.col("text"), config).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: [" ab"]}
