@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from staycoder.llm.hashing import BASE, buffers, mix, words
+from staycoder.llm.memory import tidied
 
 STEP = 16
 WINDOW = 3 * STEP
@@ -381,7 +382,7 @@ def _search(config: LeakConfig, text: str, items: list[Item], table: np.ndarray,
             column = pa.array([[f[k] for k in sorted(f)] for f in found], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "_leaks"])
 
-    return run
+    return tidied(run)
 
 
 def with_leaks(

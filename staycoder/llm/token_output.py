@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from staycoder.llm.memory import tidied
+
 PIECES_KEPT = 1_000_000  # distinct pieces whose ids a task remembers before it starts anew
 SLICE_BYTES = 6 << 20
 RANGE_BYTES = 256 << 20  # text of one range of ids, and so of one file
@@ -189,7 +191,7 @@ def _tokenize(path: str, end_id: int, pieces: bool):
         finally:
             encoder.forget()
 
-    return run
+    return tidied(run)
 
 
 def write_tokens(
