@@ -15,6 +15,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from staycoder.functions.codes import answer_code
 from staycoder.functions.prompts import coding_prompt
@@ -22,6 +23,8 @@ from staycoder.functions.text import first_filled
 from staycoder.functions.vectors import argmax_id, softmax_at_max
 
 PREDICTION_TYPE = "struct<code:string,score:double>"
+ROWS_AT_ONCE = 256  # inputs that a task holds as Python objects (one model batch at least); the rest stays in Arrow
+OUT_BYTES = 4 << 20  # answers that a task holds before they go back to Spark
 
 
 @dataclass(frozen=True)
@@ -70,43 +73,59 @@ def score(
             models[step_id] = model_factory(*(types.SimpleNamespace(**o) for o in given_options))
         return models[step_id]
 
+    at_once = size * max(1, ROWS_AT_ONCE // size)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    out_bytes, kind = OUT_BYTES, to_arrow_type(DataType.fromDDL(return_type))
+
     def answers(model, column, keys):
+        """Arrays of the answers to an Arrow array; only few rows at a time are Python objects, few answers wait."""
         import numpy as np
         import pandas as pd
-
-        given = [i for i, value in enumerate(column) if value is not None]
-        results = [None] * len(column)
-        for start in range(0, len(given), size):
-            rows = given[start : start + size]
-            extra = ()
-            if keys is not None:
-                own = ([seed % 2**64, int(keys.iloc[i]) % 2**64] for i in rows)
-                extra = ([np.random.Generator(np.random.Philox(key=np.array(k, dtype=np.uint64))) for k in own],)
-            for i, result in zip(rows, model([column.iloc[i] for i in rows], *extra), strict=True):
-                results[i] = result
-        return pd.Series(results, dtype=object)
+        import pyarrow as pa
+
+        given = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        edges = [0, *given[at_once::at_once].tolist(), len(column)]
+        done = []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            rows = (given[(given >= lo) & (given < hi)] - lo).tolist()
+            values = column.slice(lo, hi - lo).drop_null().to_pandas()
+            results = [None] * (hi - lo)
+            for start in range(0, len(rows), size):
+                part = rows[start : start + size]
+                extra = ()
+                if keys is not None:
+                    own = ([seed % 2**64, keys[lo + i].as_py() % 2**64] for i in part)
+                    extra = ([np.random.Generator(np.random.Philox(key=np.array(k, dtype=np.uint64))) for k in own],)
+                inputs = [values.iloc[i] for i in range(start, start + len(part))]
+                for i, result in zip(part, model(inputs, *extra), strict=True):
+                    results[i] = result
+            done.append(pa.Array.from_pandas(pd.Series(results, dtype=object), type=kind))
+            if hi == len(column) or sum(d.nbytes for d in done) >= out_bytes:
+                yield pa.concat_arrays(done)
+                done = []
 
     def run(batches):
         model = load()
         for column in batches:
-            yield answers(model, column, None)
+            yield from answers(model, column, None)
 
     def run_seeded(batches):
         model = load()
         for column, keys in batches:
-            yield answers(model, column, keys)
+            yield from answers(model, column, keys)
 
-    # the annotations of an iterator Pandas UDF, set by hand so that the closures stay self-contained
+    # the annotations of an iterator Arrow UDF, set by hand so that the closures stay self-contained
     from collections.abc import Iterator
 
-    import pandas as pd
+    import pyarrow as pa
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    run_seeded.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    run_seeded.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     if seed is None:
-        return F.pandas_udf(run, return_type).asNondeterministic()(inputs)
+        return F.arrow_udf(run, return_type).asNondeterministic()(inputs)
     key = F.xxhash64(inputs) if row_key is None else row_key.cast("long")
-    return F.pandas_udf(run_seeded, return_type).asNondeterministic()(inputs, F.coalesce(key, F.lit(0)))
+    return F.arrow_udf(run_seeded, return_type).asNondeterministic()(inputs, F.coalesce(key, F.lit(0)))
 
 
 def label_predictions(

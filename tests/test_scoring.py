@@ -163,3 +163,23 @@ def test_generated_codes(spark):
     codes = lambda **kw: [r.pred.code for r in generate_codes(rows, factory, **kw).collect()]
     assert codes() == ["K35.8", "E11", "", ""]
     assert codes(fallback="none") == ["K35.8", "", "", ""]
+
+
+def test_few_inputs_and_answers_are_python_objects_at_a_time(spark):
+    def factory():
+        import sys
+
+        return lambda batch: [f"{sys.getallocatedblocks()} {m[0]['content']}" for m in batch]
+
+    rows = spark.range(0, 9000, 1, 1).withColumn("t", F.expr("IF(id % 7 = 3, NULL, array(struct('user' AS role, concat('t', id) AS content)))"))
+    rows = rows.select("id", score(F.col("t"), factory, "string", batch_size=10).alias("o"))
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(records)
+    spark.conf.set(records, "9000")
+    try:
+        got = {r.id: r.o for r in rows.collect()}
+    finally:
+        spark.conf.set(records, before)
+    assert all((got[i] is None) if i % 7 == 3 else got[i].split()[1] == f"t{i}" for i in range(9000))
+    blocks = [int(got[i].split()[0]) for i in range(1000, 9000) if got[i]]  # of Python's memory
+    assert max(blocks) - min(blocks) < 3_000
