@@ -11,7 +11,7 @@ stripes in parallel and skips those that cannot hold a wanted id or range.
 
 Null text is empty; it has the end id alone. Null ids come first; rows with equal ids stay separate
 rows, ordered by text. Other columns are ignored. Text is split at blanks and line feeds before it is
-encoded, where the vocabulary's own pattern always splits, and between ASCII letters or digits and marks if that pattern
+encoded, where the vocabulary's own pattern always splits, and between ASCII letters, digits and marks if that pattern
 splits there too: each piece has the same ids anywhere, so a task encodes a piece once. What a task has
 learnt is dropped when it ends.
 """
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from staycoder.llm.hashing import buffers
 from staycoder.llm.memory import tidied
 
 PIECES_KEPT = 1_000_000  # distinct pieces whose ids a task remembers before it starts anew
@@ -37,6 +38,34 @@ RANGE_BYTES = 256 << 20  # text of one range of ids, and so of one file
 # fixed value: a pre-tokenizer pattern that separates letters, single digits and runs of marks
 LETTERS_DIGITS_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+_OTHER, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _BLANK = range(6)  # kinds of bytes; all but the first are ASCII
+_KINDS = np.full(256, _OTHER, dtype=np.uint8)
+_KINDS[0x21:0x7F] = _MARK
+_KINDS[[b for b in range(128) if chr(b).isalpha()]] = _LETTER
+_KINDS[[b for b in range(128) if chr(b).isdigit()]] = _DIGIT
+_KINDS[ord("'")] = _APOSTROPHE
+_KINDS[[ord(" "), ord("\n")]] = _BLANK
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+
+
+def _borders(pairs) -> np.ndarray:
+    """Whether a piece starts at a byte, by 8 * the kind before + its kind."""
+    table = np.zeros(64, dtype=bool)
+    for kind in (_OTHER, _LETTER, _DIGIT, _MARK, _APOSTROPHE):
+        table[_BLANK << 3 | kind] = True
+    for before, kind in pairs:
+        table[before << 3 | kind] = True
+    return table
+
+
+_BLANKS = _borders([])
+# a mark run that ends in an apostrophe stays with what follows: 's and the like are tokens
+_BORDERS = _borders(
+    [(a, b) for a in (_LETTER, _DIGIT) for b in (_MARK, _APOSTROPHE)]
+    + [(_MARK, _LETTER), (_MARK, _DIGIT), (_LETTER, _DIGIT), (_DIGIT, _LETTER)]
+)
+
 
 def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -105,28 +134,53 @@ class Encoder:
         self.starts[old + 1 : old + len(fresh) + 1] = end + np.cumsum(n)
 
     def _split(self, texts):
-        """Texts to lists of pieces. No composed character crosses a border of two ASCII characters.
+        """Pieces of the texts, one after another, and the number of pieces before each text and after the last.
 
-        A text that holds an added token of the vocabulary, in any case, is split at blanks only.
+        No composed character crosses a border of two ASCII characters. A text that holds an added token of the
+        vocabulary, in any case, is split at blanks only.
         """
+        import pyarrow as pa
+
+        data, offsets = buffers(texts)
+        kind = _KINDS[data]
+        whole = self._with_added_tokens(texts, data, offsets) if self.fold or self.marks else None
+        lower = _LOWER[data] if self.fold else data
+        if whole is not None:
+            bytes_of = np.repeat(whole, np.diff(offsets))
+            kind[bytes_of & (kind != _BLANK)] = _OTHER
+            lower = np.where(bytes_of, data, lower)
+        before = np.empty_like(kind)
+        before[1:] = kind[:-1]
+        before[offsets[:-1][offsets[:-1] < len(data)]] = _BLANK
+        starts = (_BORDERS if self.marks else _BLANKS)[before << 3 | kind]
+        kept = kind != _BLANK
+        at = np.flatnonzero(starts[kept])
+        ends = np.append(at, np.count_nonzero(kept)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(lower[kept])])
+        return pieces, np.searchsorted(np.flatnonzero(starts), offsets)
+
+    def _with_added_tokens(self, texts, data: np.ndarray, offsets: np.ndarray):
+        """Which texts hold an added token in any case; None if none does. Its marks have to occur as they are."""
+        import pyarrow as pa
         import pyarrow.compute as pc
 
-        whole = texts
-        if self.fold:
-            texts = pc.ascii_lower(texts)
-        if self.marks:  # a mark run that ends in an apostrophe stays with what follows: 's and the like are tokens
-            texts = pc.replace_substring_regex(texts, r"([A-Za-z0-9])([!-/:-@\[-`{-~])", "\\1\n\\2")
-            texts = pc.replace_substring_regex(texts, r"([!-&(-/:-@\[-`{-~])([A-Za-z0-9])", "\\1\n\\2")
-        for token in self.added if self.fold or self.marks else ():
-            texts = pc.if_else(pc.match_substring(whole, token, ignore_case=True), whole, texts)
-        return pc.split_pattern_regex(texts, "[ \n]+")
+        found = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            marks = [c for c in token.encode() if _KINDS[c] in (_MARK, _APOSTROPHE)]
+            rows = np.arange(len(texts))
+            for mark in set(marks):
+                rows = np.intersect1d(rows, np.searchsorted(offsets, np.flatnonzero(data == mark), side="right") - 1)
+            if len(rows):
+                holds = pc.match_substring(texts.take(pa.array(rows)), token, ignore_case=True)
+                found[rows] |= holds.fill_null(False).to_numpy(zero_copy_only=False)
+        return found if found.any() else None
 
     def encode(self, texts):
         """Of a pyarrow string array: (ids one after another, number of ids of each text)."""
         if not self.pieces:
             return self._ids(texts.to_pylist(), 64)
-        split = self._split(texts)
-        coded = split.flatten().dictionary_encode()
+        split, edges = self._split(texts)
+        coded = split.dictionary_encode()
         names = coded.dictionary.to_pylist()
         if len(self.known) > PIECES_KEPT:
             self.forget()
@@ -136,7 +190,6 @@ class Encoder:
         length = self.starts[piece + 1] - self.starts[piece]
         ends = np.concatenate(([0], np.cumsum(length)))
         flat = self.ids[np.repeat(self.starts[piece] - ends[:-1], length) + np.arange(ends[-1])]
-        edges = np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy())))
         return flat, np.diff(ends[edges])
 
 

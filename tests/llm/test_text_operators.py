@@ -259,3 +259,18 @@ def test_token_files(spark, tmp_path):
     assert [tuple(r) for r in got] == want
     assert read_tokens(spark, f"{tmp_path}/t", "doc_id = 10000").count() == 1
     write_tokens(spark.createDataFrame([], SCHEMA), f"{tmp_path}/none", path)
+
+
+def test_pieces_end_between_letters_and_digits():
+    import pyarrow as pa
+
+    from staycoder.llm.token_output import Encoder
+
+    whole, pieces = Encoder(tokenizer_path(), pieces=False), Encoder(tokenizer_path())
+    odd = ["", None, "  ", "a1b22c'3s d's 4'S x'1", "é1 1é ß'd2", "é1 1́a", "—.1—a", "<|endoftext|>A1b C", "x<|ENDOFTEXT|>9Y", "\t7\r8a\n\n9 ", "KK1k", "1.5e3,2E-4(x2)"]
+    texts = pa.array([*odd, *(f"item{i % 9}x{i % 7}" for i in range(500))])
+    for part in (texts, texts.slice(2, 7), texts.slice(0, 0)):
+        ids, n = pieces.encode(part)
+        same, m = whole.encode(part.fill_null(""))
+        assert ids.tolist() == same.tolist() and n.tolist() == m.tolist()
+    assert {"item", "x", "0", "8"} <= pieces.known.keys() and not any(p.startswith("item") and p != "item" for p in pieces.known)
