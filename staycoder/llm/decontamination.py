@@ -285,10 +285,11 @@ class Block:
         place, item, start = place[order], item[order], (place - at)[order]
         return place, item, start
 
-    def coded(self, hashes: np.ndarray) -> np.ndarray:
-        """Each word's number in the vocabulary; others get the number after the last."""
+    def coded(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words that are in the vocabulary, and how many of them stand before each place."""
         place = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[place] == hashes, place, len(self.vocabulary))
+        known = self.vocabulary[place] == hashes
+        return place[known], np.concatenate(([0], np.cumsum(known)))
 
     def nearest(self, i: int, start: int, edges: tuple[int, int], first: int, windows: np.ndarray) -> float:
         """The best cosine of item i's chunks, if its first word stands at `start`, with the windows that hold them."""
@@ -296,16 +297,17 @@ class Block:
         window = np.clip(edges[0] + (start + self.at[chunk] - first) // STEP, edges[0], edges[1] - 1)
         return float((windows[window] * self.vectors[chunk]).sum(axis=1).max())
 
-    def most(self, item: np.ndarray, coded: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def most(self, item: np.ndarray, coded: tuple[np.ndarray, np.ndarray], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Per pair, at least as many words as the item can have in common with the words begin:end."""
         out = np.zeros(len(item), dtype=np.int64)
+        words_known, before = coded
+        first, n = before[begin], np.maximum(before[end] - before[begin], 0)
         for i in range(0, len(item), 4096):
-            one, b, e = item[i : i + 4096], begin[i : i + 4096], end[i : i + 4096]
-            place = b[:, None] + np.arange(int((e - b).max()))
-            word = coded[np.minimum(place, len(coded) - 1)]
-            slot = np.where(place < e[:, None], self.slot[one[:, None], word], 0)
+            one, many = item[i : i + 4096], n[i : i + 4096]
+            pair = np.repeat(np.arange(len(one)), many)
+            place = np.arange(len(pair)) + np.repeat(first[i : i + 4096] - (np.cumsum(many) - many), many)
             seen = np.zeros((len(one), self.times.shape[1]), dtype=bool)
-            seen[np.arange(len(one))[:, None], slot] = True
+            seen[pair, self.slot[one[pair], words_known[place]]] = True
             out[i : i + 4096] = (seen * self.times[one]).sum(axis=1)
         return out
 

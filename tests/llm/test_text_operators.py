@@ -274,3 +274,24 @@ def test_pieces_end_between_letters_and_digits():
         same, m = whole.encode(part.fill_null(""))
         assert ids.tolist() == same.tolist() and n.tolist() == m.tolist()
     assert {"item", "x", "0", "8"} <= pieces.known.keys() and not any(p.startswith("item") and p != "item" for p in pieces.known)
+
+
+def test_only_words_of_the_benchmark_are_looked_at_in_spans():
+    import numpy as np
+
+    from staycoder.llm.decontamination import Block, Item, LeakConfig
+
+    rng = np.random.default_rng(3)
+    items = [Item.of(i, rng.integers(0, 40, 12 + i).astype(np.uint64)) for i in range(5)]
+    config = LeakConfig(buckets=64, rank=4)
+    block = Block(items, np.ones((64, 4), dtype=np.float32), np.ones(64, dtype=np.int64), config)
+    hashes = rng.integers(0, 4000, 9000).astype(np.uint64)
+    hashes[rng.integers(0, 9000, 900)] = rng.integers(0, 40, 900)
+    coded = block.coded(hashes)
+    vocabulary = {w for item in items for w in item.words}
+    assert len(coded[0]) == sum(w in vocabulary for w in hashes.tolist()) < 1500
+    item, begin = rng.integers(0, 5, 5000), rng.integers(0, 9000, 5000)
+    end = np.minimum(9000, begin + rng.integers(0, 120, 5000))
+    spans = [set(hashes[b:e].tolist()) for b, e in zip(begin, end, strict=True)]
+    want = [sum(w in span for w in items[i].words) for i, span in zip(item, spans, strict=True)]
+    assert block.most(item, coded, begin, end).tolist() == want
