@@ -104,7 +104,8 @@ def mix(
     levels = [f"_mix_{i}" for i in range(len(config.levels))]
     given = level_columns or {}
     rows = docs.withColumns({out: given.get(name, F.col(name) if name in docs.columns else F.lit(None)).cast("string") for out, name in zip(levels, config.levels, strict=True)})
-    rows = rows.withColumn("_mix_n", count_tokens(text)).where("_mix_n > 0")
+    # a filter on the count itself would count twice in every pass
+    rows = rows.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).withColumn("_mix_n", count_tokens(text))
     sizes = rows.groupBy(*levels).agg(F.sum("_mix_n").alias("n")).limit(config.max_leaves + 1).collect()
     if len(sizes) > config.max_leaves:
         raise ValueError(f"more than {config.max_leaves} leaves")
@@ -132,14 +133,15 @@ def mix(
         F.col("_mix_leaf").alias("leaf"), F.col("_mix_slice").alias("cut"), F.col("before")
     )
     # one row per leaf, so no larger than the plan
-    ordered = ordered.join(F.broadcast(cuts), ordered["_mix_leaf"] == F.col("leaf"))
-    first = ordered.where("_mix_slice < cut").withColumn("mix_tokens", F.col("_mix_n"))
+    keyed = rows.withColumn("_mix_key", F.when(F.col("_mix_rest") > 0, key)).withColumn("_mix_slice", F.substring("_mix_key", 1, 3))
+    keyed = keyed.join(F.broadcast(cuts), keyed["_mix_leaf"] == F.col("leaf"), "left")
+    # whole documents of all epochs in one pass; tokens are counted only for those that are taken
+    times = F.col("_mix_whole") + F.when(F.col("_mix_slice") < F.col("cut"), 1).otherwise(0)
+    taken = keyed.withColumn("_mix_given", times).where("_mix_given > 0").withColumn("mix_tokens", count_tokens(text))
+    epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_given") - 1))
+    whole = taken.select(*docs.columns, epochs.alias("mix_epoch"), "mix_tokens")
     inside = Window.partitionBy("_mix_leaf").orderBy("_mix_key", "_mix_n").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = ordered.where("_mix_slice = cut").withColumn("_mix_at", F.col("before") + F.coalesce(F.sum("_mix_n").over(inside), F.lit(0)))
+    at_cut = keyed.where("_mix_slice = cut").withColumn("_mix_n", count_tokens(text))
+    at_cut = at_cut.withColumn("_mix_at", F.col("before") + F.coalesce(F.sum("_mix_n").over(inside), F.lit(0)))
     at_cut = at_cut.where("_mix_at < _mix_rest").withColumn("mix_tokens", F.least("_mix_n", F.col("_mix_rest") - F.col("_mix_at")))
-    partial = first.select(*docs.columns, F.col("_mix_whole").alias("mix_epoch"), "mix_tokens").unionByName(
-        at_cut.select(*docs.columns, F.col("_mix_whole").alias("mix_epoch"), "mix_tokens")
-    )
-    epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_whole") - 1))
-    whole = rows.where("_mix_whole > 0").select(*docs.columns, epochs.alias("mix_epoch"), F.col("_mix_n").alias("mix_tokens"))
-    return whole.unionByName(partial)
+    return whole.unionByName(at_cut.select(*docs.columns, F.col("_mix_whole").alias("mix_epoch"), "mix_tokens"))

@@ -200,6 +200,16 @@ def test_mixing(spark):
     assert mix(docs.limit(0), config).count() == 0
 
 
+def test_mixing_counts_tokens_once_a_pass(spark):
+    rows = [(i, "w \u0085 x" * (i % 7), "en", "s", "d") for i in range(50)] + [(None, "\t \n", "en", "s", "d"), (7, " y", None, "s", "d"), (7, " y", None, "s", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain string")
+    mixed = mix(docs, MixConfig(share=1.5, max_epochs=2))
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 4  # whole documents, those at the cut, and for each the slices
+    size = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r[1])) for r in rows)
+    assert sum(r["mix_tokens"] for r in mixed.collect()) == size * 3 // 2
+
+
 def test_near_duplicates_go_by_row(spark):
     import corpus_pipeline
 
