@@ -3,15 +3,16 @@
 1. Every text becomes the set of its five-word shingles (64-bit fingerprints). Texts with equal sets
    are one class, represented by its least row; only classes go on.
 2. Prefix principle: two sets with Jaccard >= t share one of the first n - ceil(t*n) + 1 shingles of
-   each in any common order. The order puts shingles of many documents last, so that shared
-   boilerplate seldom opens a tile. A tile holds the classes that have a prefix shingle in common
-   and sizes in the same band (factor 4, with an overlap of 1/t, so that no pair falls between). Of tiles with the
-   same classes (the shingles of a shared passage, or of near copies) one is kept.
-3. Round one compares every class of a tile with the tile's leader only, which is linear. Later rounds compare the
-   classes of a tile that are not yet connected, in cells of bounded size, by their bitmaps; a cell names for each
-   class a few of the best partners in other components, which are verified before the next round. Each round asks
-   for eight times as many, leaves out what has failed, and goes on with the tiles that had a partner to name. So a
-   group of thousands of near copies never becomes all its pairs, and no pair that could join two components is left out.
+   each in any common order. The order puts shingles of several documents last and goes by their hashes otherwise, so
+   that shared passages and phrases seldom open a tile. Which ones come last is estimated from a part of the texts,
+   for the shingles of low hashes, which alone open tiles; a wrong estimate costs time, never links. A tile holds the
+   classes that have a prefix shingle in common and sizes in the same band (factor 4, with an overlap of 1/t, so that
+   no pair falls between). Of tiles with the same classes (the shingles of a shared passage, or of near copies) one is kept.
+3. Round one compares every class of a tile with the tile's leader only, which is linear. What is not yet connected
+   is compared in cells of bounded size: first by bitmaps, which leaves the classes with a possible partner in another
+   component, then by their texts. A cell returns a spanning forest of its links, fewer links than it has classes. So a
+   group of thousands of near copies never becomes all its pairs, and no link that could join two components is left
+   out. In tiles of several cells the largest component's classes are not compared with each other.
 4. A pair is first bounded: a bitmap has the parity of the hashes that fall on each bit, so two sets
    differ in at least as many shingles as their bitmaps differ in bits. What can still reach t is
    verified by intersecting the sorted shingle arrays.
@@ -29,10 +30,12 @@ from staycoder.llm.components import components
 from staycoder.llm.hashing import buffers, by_owner, mix, shingles, words
 from staycoder.sources.shared import write_once
 
-HEAVY_SHARE = 0.0005  # a shingle of more than this share of the documents goes to the end of the order
-FIRST_PARTNERS = 2  # a class names so many in the first round of cells
-CELL_MEMBERS = 1024  # larger tiles are compared in square cells of so many rows a side; none is left out
-HEAVY_AT_MOST = 200_000  # how many of those are told to the tasks (1.6 MB); the order never affects results
+COUNTED_TEXTS = 4  # one text in so many is counted for the order
+COUNTED_HASHES = np.uint64(int(0.35 * 2**64))  # and of its shingles those below this
+FIRST_PARTNERS = 2  # a class is compared with so many in the first round of a cell, then with eight times as many
+CELL_MEMBERS = 1024  # larger tiles are compared in cells of so many rows a side; none is left out
+CELL_SHINGLES = 1 << 21  # the same for the shingles of a side
+HEAVY_AT_MOST = 200_000  # how many shingles go last, told to the tasks (1.6 MB); the order never affects results
 
 
 def _slices(batches, size: int = 1 << 21):
@@ -47,23 +50,16 @@ def _slices(batches, size: int = 1 << 21):
             i = j
 
 
-def _frequent(width: int):
-    """(shingle, count) of shingles that are frequent within a part, for the common order."""
+def _low_shingles(width: int):
+    """The shingles of every text whose hashes are below COUNTED_HASHES, for the common order."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in _slices(batches):
-            data, offsets = buffers(batch.column("text"))
-            values, _, _ = shingles(*words(data, offsets), width)
-            values = np.sort(values)
-            edge = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True])))
-            count = np.diff(edge)
-            often = count >= max(2, HEAVY_SHARE * batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[edge[:-1][often]].view(np.int64)), pa.array(count[often])],
-                names=["shingle", "n"],
-            )
+            values, _, _ = shingles(*words(*buffers(batch.column("text"))), width)
+            values = values[values < COUNTED_HASHES].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values)], names=["shingle"])
 
     return run
 
@@ -200,20 +196,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return with_texts.select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, percent), "a long, b long")
 
 
-def cell_pairs(ids, n, comp, own, bitmaps: list[bytes], tried: list, percent: int, partners: int):
-    """(a, b) of the pairs of a cell, in different components, that may reach the threshold and are not in `tried`.
+def _possible_in_cell(ids, n, comp, own, bitmaps: list[bytes], tried: list, percent: int):
+    """(i, rows j, upper bounds of the intersections) for rows i of a cell, in the order of n, that must be sorted.
 
-    Every class has at most `partners`, those in other components with the best bounds: first one of each component,
-    then second ones and so on.
+    The rows j come after i, are in another component, may reach the threshold and are not in `tried` of i.
     """
-    order = np.argsort(n, kind="stable")
-    ids, n, comp, own = ids[order], n[order], comp[order], own[order]
-    maps = [np.frombuffer(bitmaps[i], dtype=np.uint8) for i in order]
-    tried = [tried[i] for i in order]
+    maps = [np.frombuffer(m, dtype=np.uint8) for m in bitmaps]
     size = np.array([len(m) for m in maps])
     same_part = own.min() == own.max()
     last = np.searchsorted(n, n * 100 // percent, side="right")
-    out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
     for small in np.unique(size):  # sizes ascend with n: a partner's map is as long or twice as long
         rows = np.flatnonzero(size == small)
         reach = np.arange(rows[0], int(last[rows].max()))
@@ -229,50 +220,123 @@ def cell_pairs(ids, n, comp, own, bitmaps: list[bytes], tried: list, percent: in
             if tried[i]:
                 ok &= ~np.isin(ids[j], np.array(tried[i], dtype=np.int64))
             if ok.any():
-                j, most = j[ok], most[ok]
-                by_comp = np.lexsort((-most, comp[j]))
-                new = np.flatnonzero(np.diff(comp[j[by_comp]], prepend=comp[j[by_comp[0]]] - 1))
-                place = np.arange(len(j)) - np.repeat(new, np.diff(np.append(new, len(j))))
-                best = by_comp[np.lexsort((-most[by_comp], place))[:partners]]
-                out.append((np.full(len(best), ids[i]), ids[j[best]]))
+                yield i, j[ok], most[ok]
+
+
+def cell_pairs(ids, n, comp, own, bitmaps: list[bytes], tried: list, percent: int, partners: int):
+    """(a, b) of the pairs of a cell, in different components, that may reach the threshold and are not in `tried`.
+
+    Every class has at most `partners`, those in other components with the best bounds: first one of each component,
+    then second ones and so on.
+    """
+    order = np.argsort(n, kind="stable")
+    ids, n, comp, own = ids[order], n[order], comp[order], own[order]
+    out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+    for i, j, most in _possible_in_cell(ids, n, comp, own, [bitmaps[k] for k in order], [tried[k] for k in order], percent):
+        by_comp = np.lexsort((-most, comp[j]))
+        new = np.flatnonzero(np.diff(comp[j[by_comp]], prepend=comp[j[by_comp[0]]] - 1))
+        place = np.arange(len(j)) - np.repeat(new, np.diff(np.append(new, len(j))))
+        best = by_comp[np.lexsort((-most[by_comp], place))[:partners]]
+        out.append((np.full(len(best), ids[i]), ids[j[best]]))
     a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _cell_pairs(percent: int, partners: int):
-    """Rows sorted by cell; a cell has at most about twice CELL_MEMBERS rows."""
+def cell_forest(ids, comp, own, sets: list[np.ndarray], percent: int):
+    """(a, b) of links of a cell that connect all of its components that links of the cell connect, none of them twice."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    maps = [parity_bitmap(s, int(bits)) for s, bits in zip(sets, bitmap_bits(n), strict=True)]
+    place = {i: k for k, i in enumerate(ids.tolist())}
+    tried: list[list] = [[] for _ in ids]
+    comp, links, partners = comp.copy(), [], FIRST_PARTNERS
+    while True:
+        pairs = list(zip(*cell_pairs(ids, n, comp, own, maps, tried, percent, partners), strict=True))
+        if not pairs:
+            break
+        for a, b in pairs:
+            i, j = place[int(a)], place[int(b)]
+            if comp[i] == comp[j]:  # by now
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (int(n[i]) + int(n[j]) - both):
+                links.append((int(a), int(b)))
+                comp[comp == comp[j]] = comp[i]
+            else:
+                tried[i].append(int(b))
+                tried[j].append(int(a))
+        partners *= 8
+    a, b = np.array(links, dtype=np.int64).reshape(-1, 2).T
+    return a, b
+
+
+def _whole_cells(batches, size: int = 1 << 22):
+    """(table, edges) of rows sorted by cell: whole cells together, of about `size` bytes."""
+    import pyarrow as pa
+
+    def parts(table):
+        cell = table.column("cell").to_numpy()
+        edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+        step = max(1, int(table.num_rows * size / max(1, table.nbytes)))
+        at = 0
+        while at < len(edges) - 1:
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + step, side="right")) - 1)
+            yield table.slice(edges[at], edges[to] - edges[at]), edges[at : to + 1] - edges[at]
+            at = to
+
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = batch.column("cell").to_numpy()
+        cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+        if held and held[-1].column("cell")[-1].as_py() != int(cell[0]):
+            yield from parts(pa.Table.from_batches(held))
+            held = []
+        if cut:
+            yield from parts(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from parts(pa.Table.from_batches(held))
+
+
+def _with_partner(percent: int):
+    """Of rows sorted by cell those whose bitmaps allow a link with another component of the cell."""
 
     def run(batches):
         import pyarrow as pa
 
-        def compared(table):
-            cell = table.column("cell").to_numpy()
-            edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+        for table, edges in _whole_cells(batches):
             columns = [table.column(c).to_numpy() for c in ("id", "n", "comp", "own")]
-            tile = table.column("tile").to_numpy()
-            maps, tried = table.column("bitmap").to_pylist(), table.column("tried").to_pylist()
-            parts = [(np.zeros(0, dtype=np.int64),) * 3]
+            maps = table.column("bitmap").to_pylist()
+            keep = np.zeros(table.num_rows, dtype=bool)
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if hi - lo > 1:
-                    a, b = cell_pairs(*[c[lo:hi] for c in columns], maps[lo:hi], tried[lo:hi], percent, partners)
-                    parts.append((np.full(len(a), tile[lo]), a, b))
-            tiles, a, b = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            return pa.RecordBatch.from_arrays([pa.array(tiles), pa.array(a), pa.array(b)], names=["tile", "a", "b"])
+                order = lo + np.argsort(columns[1][lo:hi], kind="stable")
+                rows = [c[order] for c in columns]
+                for i, j, _ in _possible_in_cell(*rows, [maps[k] for k in order], [None] * (hi - lo), percent):
+                    keep[order[i]] = True
+                    keep[order[j]] = True
+            yield from table.select(["cell", "id", "comp", "own"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
 
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            if not table.num_rows:
-                continue
-            cell = table.column("cell").to_numpy()
-            cut = int(np.flatnonzero(cell == cell[-1])[0])  # the last cell may go on in the next batch
-            if cut:
-                yield compared(table.slice(0, cut))
-            held = table.slice(cut)
-        if held is not None:
-            yield compared(held)
+
+def _forests(width: int, percent: int):
+    """Links (a, b) of rows sorted by cell, with texts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for table, edges in _whole_cells(batches):
+            columns = [table.column(c).to_numpy() for c in ("id", "comp", "own")]
+            sets = []
+            for part in _slices(table.to_batches()):
+                values, first, n = shingles(*words(*buffers(part.column("text"))), width)
+                sets += [values[first[i] : first[i + 1]] for i in range(len(n))]
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if hi - lo > 1:
+                    a, b = cell_forest(*[c[lo:hi] for c in columns], sets[lo:hi], percent)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -295,11 +359,10 @@ def jaccard_groups(
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    frequent = rows.select("text").mapInArrow(_frequent(width), "shingle long, n long")
-    counted = frequent.groupBy("shingle").agg(F.sum("n").alias("n"))
-    total = rows.count()
-    heavy = counted.where(F.col("n") > HEAVY_SHARE * total).orderBy(F.desc("n"), "shingle").limit(HEAVY_AT_MOST)
-    heavy = np.sort(np.array([r[0] for r in heavy.select("shingle").collect()], dtype=np.int64)).view(np.uint64)
+    counted = rows.where(F.pmod("text_key", F.lit(COUNTED_TEXTS)) == 0).select("text").mapInArrow(_low_shingles(width), "shingle long")
+    counted = counted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    heavy = counted.orderBy(F.desc("n"), "shingle").limit(HEAVY_AT_MOST).select("shingle").collect()
+    heavy = np.sort(np.array([r[0] for r in heavy], dtype=np.int64).view(np.uint64))
 
     # one narrow row per text, and one wide row per class; neither is written twice
     full = rows.mapInArrow(
@@ -325,7 +388,7 @@ def jaccard_groups(
     )
     postings = postings.select(
         "id", "n", F.explode(F.when(F.col("low") == F.col("high"), F.array("low")).otherwise(F.array("low", "high"))).alias("band"), "shingle"
-    ).select("id", F.xxhash64("shingle", "band").alias("tile"))
+    ).select("id", F.xxhash64("shingle", "band").alias("tile")).repartition("tile")  # one shuffle for the groups and the join
     same = [F.bit_xor(F.xxhash64("id", F.lit(salt))).alias(f"of_{salt}") for salt in (1, 2)]
     tiles = postings.groupBy("tile").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("leader"), *same).where("k > 1")
     tiles = tiles.groupBy("k", "leader", "of_1", "of_2").agg(F.min("tile").alias("tile")).select("tile", "k", "leader")
@@ -349,35 +412,37 @@ def jaccard_groups(
     # stored, so that its size is known: a short list of pairs is broadcast instead of shuffling the texts
     links = write_once(_verify(write_once(led, "possible-pairs"), texts, width, percent), "links")
     label = components(links)
-    # members of tiles that hold several components, in cells of bounded size, compared by their bitmaps
-    wide = classes.select("id", "n", "bitmap")
-    failed, active, partners = None, members, FIRST_PARTNERS
-    while True:
-        now = active.select("tile", "id", "k").join(label.withColumnRenamed("node", "id"), "id", "left")
-        now = now.select("tile", "id", "k", F.coalesce("component", "id").alias("comp"))
-        mixed = now.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tile")
-        now = now.join(mixed, "tile").join(wide, "id")
-        if failed is None:
-            now = now.withColumn("tried", F.array().cast("array<long>"))
-        else:
-            both = failed.unionByName(failed.toDF("b", "a"))
-            now = now.join(both.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("tried")), "id", "left")
-        parts = F.ceil(F.col("k") / CELL_MEMBERS)
-        own = F.pmod(F.xxhash64("id"), parts)
-        now = now.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        cell = F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other"))
-        cells = now.select(cell.alias("cell"), "tile", "id", "n", "comp", "own", "bitmap", "tried").repartition("cell").sortWithinPartitions("cell")
-        found = write_once(cells.mapInArrow(_cell_pairs(percent, partners), "tile long, a long, b long"), "cell-pairs")
-        pairs = write_once(found.select("a", "b").distinct(), "cross-pairs")
-        if pairs.isEmpty():
-            break
-        good = write_once(_verify(pairs, texts, width, percent), "links")
-        links = links.unionByName(good)
-        label = components(links)
-        bad = pairs.join(good, ["a", "b"], "left_anti")
-        failed = write_once(bad if failed is None else failed.unionByName(bad), "failed-pairs")
-        active = write_once(members.join(found.select("tile").distinct(), "tile", "left_semi"), "open-tiles")
-        partners *= 8
+    # members of tiles that hold several components, in cells of bounded size
+    now = members.select("tile", "id").join(label.withColumnRenamed("node", "id"), "id", "left")
+    now = now.select("tile", "id", F.coalesce("component", "id").alias("comp")).join(sizes, "id")
+    by_comp = now.groupBy("tile", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    mixed = by_comp.groupBy("tile").agg(
+        F.count(F.lit(1)).alias("comps"),
+        F.sum("k").alias("k"),
+        F.sum("n").alias("all_n"),
+        F.max(F.struct("k", "n", "comp")).alias("main"),
+    ).where("comps > 1")
+    sides = lambda k, n: F.ceil(F.greatest(k / CELL_MEMBERS, n / CELL_SHINGLES))
+    # a small tile is one cell; in a large one the main component has parts of its own, compared with all others only
+    one = sides(F.col("k"), F.col("all_n")) <= 1
+    mixed = mixed.select(
+        "tile",
+        "main.comp",
+        F.when(one, 1).otherwise(sides(F.col("k") - F.col("main.k"), F.col("all_n") - F.col("main.n"))).alias("rest"),
+        F.when(one, 0).otherwise(sides(F.col("main.k"), F.col("main.n"))).alias("mains"),
+    ).withColumnRenamed("comp", "main")
+    now = write_once(now.join(mixed, "tile"), "open-tiles")
+    in_main = (F.col("mains") > 0) & (F.col("comp") == F.col("main"))
+    own = F.when(in_main, F.col("rest") + F.pmod(F.xxhash64("id"), "mains")).otherwise(F.pmod(F.xxhash64("id"), "rest"))
+    others = F.when(in_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains"))
+    now = now.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
+    cell = F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other"))
+    cells = now.select(cell.alias("cell"), "id", "n", "comp", "own").join(classes.select("id", "bitmap"), "id")
+    cells = cells.repartition("cell").sortWithinPartitions("cell")
+    open_rows = write_once(cells.mapInArrow(_with_partner(percent), "cell long, id long, comp long, own long"), "open-rows")
+    full = open_rows.join(texts, "id").select("cell", "id", "comp", "own", "text").repartition("cell").sortWithinPartitions("cell")
+    links = links.unionByName(write_once(full.mapInArrow(_forests(width, percent), "a long, b long"), "links"))
+    label = components(links)
 
     named = least.withColumnRenamed("h1", "node").join(label, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from staycoder.llm.components import components
-from staycoder.llm.jaccard_join import cell_pairs, jaccard_groups, parity_bitmap
+from staycoder.llm.jaccard_join import cell_forest, cell_pairs, jaccard_groups, parity_bitmap
 from staycoder.llm.line_dedup import normalised, remove_lines, removed_lines, with_simhash
 from staycoder.llm.pii import find_pii, pii_digest
 from staycoder.llm.queries import tokenizer_path
@@ -295,3 +295,22 @@ def test_only_words_of_the_benchmark_are_looked_at_in_spans():
     spans = [set(hashes[b:e].tolist()) for b, e in zip(begin, end, strict=True)]
     want = [sum(w in span for w in items[i].words) for i, span in zip(item, spans, strict=True)]
     assert block.most(item, coded, begin, end).tolist() == want
+
+
+def test_a_cell_returns_a_spanning_forest():
+    """200 copies that all link and 50 sets that only share a passage: one link less than classes, no pairs."""
+    rng = np.random.default_rng(4)
+    base = np.sort(rng.integers(0, 2**63, 120).astype(np.uint64))
+    sets = [np.unique(np.concatenate((base, rng.integers(0, 2**63, 3).astype(np.uint64)))) for _ in range(200)]
+    sets += [np.unique(np.concatenate((base[:40], rng.integers(0, 2**63, 80).astype(np.uint64)))) for _ in range(50)]
+    ids = np.arange(1000, 1250)
+    a, b = cell_forest(ids, ids.copy(), np.zeros(250, dtype=np.int64), sets, 80)
+    assert len(a) == 199 and max(a.max(), b.max()) < 1200
+    leader = {i: i for i in range(1000, 1200)}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        old, new = leader[y], leader[x]
+        assert old != new
+        leader = {i: new if c == old else c for i, c in leader.items()}
+    assert len(set(leader.values())) == 1
+    a, b = cell_forest(ids[:200], ids[:200].copy(), np.repeat([0, 1], [1, 199]), sets[:200], 80)
+    assert set(a.tolist()) | set(b.tolist()) and all((x == 1000) for x in np.minimum(a, b))  # other part only
