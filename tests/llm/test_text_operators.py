@@ -13,7 +13,7 @@ import pytest
 
 from staycoder.llm.components import components
 from staycoder.llm.jaccard_join import cell_forest, cell_pairs, jaccard_groups, parity_bitmap
-from staycoder.llm.line_dedup import normalised, remove_lines, removed_lines, with_simhash
+from staycoder.llm.line_dedup import line_groups, normalised, remove_lines, removed_lines, with_simhash
 from staycoder.llm.pii import find_pii, pii_digest
 from staycoder.llm.queries import tokenizer_path
 from staycoder.llm.suffix_dedup import remove_repeats
@@ -234,6 +234,34 @@ def test_fuzzy_lines_of_all_lengths(spark):
         assert len(gone & set(range(60 * k, 60 * k + 60))) >= 27, n
 
 
+def shuffle_bytes(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return sum(file.length() for file in files if file.getName().startswith("shuffle_"))
+
+
+def test_fuzzy_lines_free_their_shuffle_files(spark):
+    rng = random.Random(5)
+    lines = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(40)) for _ in range(600)]
+    docs = table(spark, [(i, "\n".join(lines[i : i + 3])) for i in range(0, 600, 3)]).cache()
+    docs.count()
+    before = shuffle_bytes(spark)
+    groups = line_groups(docs)
+    assert shuffle_bytes(spark) - before < 50_000  # all lines: 166 KB, keys of more than two long words each: 500 KB
+    assert groups.where("keep").count() == 600
+    docs.unpersist()
+
+
+def test_more_pairs_than_lines_are_verified_in_slices(spark, monkeypatch):
+    rng = random.Random(6)
+    head = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(14))
+    lines = [head + " " + "".join(rng.choices("klmnopqrst", k=60)) for _ in range(10)]  # near by their hashes, too far by their letters
+    lines += [head + " " + "k" * 60, head + " " + "k" * 59 + "l"]
+    monkeypatch.setattr("staycoder.llm.line_dedup.CELL_MEMBERS", 8)
+    gone = removed_lines(table(spark, list(enumerate(lines)))).where("n_removed > 0").collect()
+    assert {r["doc_id"] for r in gone} == {11}
+
+
 def test_normalised_lines(spark):
     from pyspark.sql import functions as F
 
