@@ -12,8 +12,8 @@ stripes in parallel and skips those that cannot hold a wanted id or range.
 Null text is empty; it has the end id alone. Null ids come first; rows with equal ids stay separate
 rows, ordered by text. Other columns are ignored. Text is split at blanks and line feeds before it is
 encoded, where the vocabulary's own pattern always splits, and between ASCII letters, digits and marks if that pattern
-splits there too: each piece has the same ids anywhere, so a task encodes a piece once. What a task has
-learnt is dropped when it ends.
+splits there too: each piece has the same ids anywhere, so a task encodes a piece once, many to a call with a
+separator after each. What a task has learnt is dropped when it ends.
 """
 
 from __future__ import annotations
@@ -29,10 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from staycoder.llm.hashing import buffers
-from staycoder.llm.memory import tidied
+from staycoder.llm.memory import small_batches, tidied
+from staycoder.sources.shared import write_once
 
 PIECES_KEPT = 1_000_000  # distinct pieces whose ids a task remembers before it starts anew
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
+JOINED = 256  # pieces encoded as one text
+SEPARATOR = "0"  # pieces that hold it are encoded one by one
 RANGE_BYTES = 256 << 20  # text of one range of ids, and so of one file
 
 # fixed value: a pre-tokenizer pattern that separates letters, single digits and runs of marks
@@ -97,6 +100,8 @@ class Encoder:
         self.tokenizer = load_tokenizer(path)
         self.pieces, self.marks, self.fold = pieces, splits_marks(self.tokenizer), ignores_case(self.tokenizer)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        mark = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.separator = mark[0] if len(mark) == 1 else None
         self.forget()
 
     @staticmethod
@@ -124,8 +129,21 @@ class Encoder:
             flat.append(np.fromiter(itertools.chain.from_iterable(encoded), dtype=np.int32))
         return np.concatenate(flat), np.array(n, dtype=np.int64)
 
+    def _joined_ids(self, pieces: list[str], at_once: int = 16):
+        """As `_ids`, of pieces without the separator. If other ids equal its id, they are encoded one by one."""
+        ends = f" {SEPARATOR} "
+        texts = [ends.join(pieces[i : i + JOINED]) + ends for i in range(0, len(pieces), JOINED)]
+        flat, _ = self._ids(texts, at_once)
+        last = np.flatnonzero(flat == self.separator)
+        if len(last) != len(pieces):
+            return self._ids(pieces)
+        return flat[flat != self.separator], np.diff(last, prepend=-1) - 1
+
     def _learn(self, fresh: list[str]) -> None:
-        ids, n = self._ids(fresh)
+        joined = [] if self.separator is None else [piece for piece in fresh if SEPARATOR not in piece]
+        alone = fresh if self.separator is None else [piece for piece in fresh if SEPARATOR in piece]
+        fresh = joined + alone
+        ids, n = map(np.concatenate, zip(self._joined_ids(joined), self._ids(alone), strict=True))
         old, end = len(self.known), int(self.starts[len(self.known)])
         self.known.update(zip(fresh, range(old, old + len(fresh)), strict=True))
         self.ids = _grown(self.ids, end + len(ids))
@@ -189,8 +207,10 @@ class Encoder:
         piece = place[coded.indices.to_numpy()] if len(names) else np.zeros(0, dtype=np.int64)
         length = self.starts[piece + 1] - self.starts[piece]
         ends = np.concatenate(([0], np.cumsum(length)))
-        flat = self.ids[np.repeat(self.starts[piece] - ends[:-1], length) + np.arange(ends[-1])]
-        return flat, np.diff(ends[edges])
+        # 32 bits do: a slice has less than 2**31 ids, and so has a task's store of them
+        at = np.repeat((self.starts[piece] - ends[:-1]).astype(np.int32), length)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at], np.diff(ends[edges])
 
 
 def _grown(array: np.ndarray, size: int) -> np.ndarray:
@@ -228,7 +248,9 @@ def _tokenize(path: str, end_id: int, pieces: bool):
                     ids, n = encoder.encode(rows.column("text"))
                     offsets = np.concatenate(([0], np.cumsum(n + 1)))
                     flat = np.full(offsets[-1], end_id, dtype=np.int32)
-                    flat[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+                    of_text = np.ones(offsets[-1], dtype=bool)
+                    of_text[offsets[1:] - 1] = False
+                    flat[of_text] = ids
                     yield pa.RecordBatch.from_arrays(
                         [
                             rows.column("doc_id"),
@@ -275,7 +297,8 @@ def write_tokens(
         f"doc_id {kind}, part int, row_no long, local_start long, n_tokens long, ids array<int>",
     )
     writer = tokens.write.mode("errorifexists").option("orc.stripe.size", str(stripe_bytes)).option("compression", "zstd")
-    writer.option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").orc(path)
+    with small_batches(spark):
+        writer.option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").orc(path)
 
 
 def _checksum(batches):
@@ -308,8 +331,10 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     kind = stored.schema["doc_id"].dataType.simpleString()
     rows = stored.select("doc_id", "part", "local_start", "ids").mapInArrow(
-        _checksum, f"doc_id {kind}, part int, local_start long, n_tokens long, ids_crc32 long"
+        tidied(_checksum), f"doc_id {kind}, part int, local_start long, n_tokens long, ids_crc32 long"
     )
+    with small_batches(spark):
+        rows = write_once(rows, "token-index")
     return rows.join(bases, "part").select(
         "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32"
     )

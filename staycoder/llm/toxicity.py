@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from staycoder.llm.hashing import buffers, words
+from staycoder.llm.memory import tidied
 from staycoder.sources.shared import write_once
 
 
 STEM_BYTES = 5
+SLICE_ROWS = 512  # texts whose words a task holds at a time
 
 
 @dataclass(frozen=True)
@@ -123,13 +125,15 @@ def _bags(config: ChainConfig):
         import pyarrow as pa
 
         for batch in batches:
-            owner, bucket = presence(batch.column("text"), config.buckets)
-            edges = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(bucket.astype(np.int32)))
-            rest = [batch.column(c) for c in ("fold", "y", "earlier")]
-            yield pa.RecordBatch.from_arrays([*rest, lists], names=["fold", "y", "earlier", "bag"])
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(i, SLICE_ROWS)
+                owner, bucket = presence(part.column("text"), config.buckets)
+                edges = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(bucket.astype(np.int32)))
+                rest = [part.column(c) for c in ("fold", "y", "earlier")]
+                yield pa.RecordBatch.from_arrays([*rest, lists], names=["fold", "y", "earlier", "bag"])
 
-    return run
+    return tidied(run)
 
 
 def _columns(table):
@@ -232,8 +236,8 @@ def _score(models: list[Model], text: str, buckets: int):
         import pyarrow as pa
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(i, SLICE_ROWS)
                 owner, bucket = presence(part.column(text), buckets)
                 earlier = np.zeros((part.num_rows, 0))
                 for model in models:
@@ -242,7 +246,7 @@ def _score(models: list[Model], text: str, buckets: int):
                 columns = [*part.columns, *[pa.array(earlier[:, k]) for k in range(len(models))]]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *[f"_p{k}" for k in range(len(models))]])
 
-    return run
+    return tidied(run)
 
 
 def toxicity(

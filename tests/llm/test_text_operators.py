@@ -304,6 +304,53 @@ def test_pieces_end_between_letters_and_digits():
     assert {"item", "x", "0", "8"} <= pieces.known.keys() and not any(p.startswith("item") and p != "item" for p in pieces.known)
 
 
+def test_pieces_are_encoded_many_to_a_call():
+    import pyarrow as pa
+
+    from staycoder.llm.token_output import Encoder
+
+    whole, pieces = Encoder(tokenizer_path(), pieces=False), Encoder(tokenizer_path())
+    texts = pa.array([f"{'abcdefgh'[i % 8]}{'klmnop'[i % 6]}é{chr(0x3B1 + i % 25)} 0 10 {i} x0é don't" for i in range(3000)])
+    want, n = whole.encode(texts)
+    sent, encode = [], pieces._ids
+    pieces._ids = lambda given, *at_once: sent.append(len(given)) or encode(given, *at_once)
+    ids, m = pieces.encode(texts)
+    assert ids.tolist() == want.tolist() and m.tolist() == n.tolist()
+    assert sum(sent) < len(pieces.known) / 2  # before: all of them
+    # an id that other texts have too, and a vocabulary without a separator
+    for separator in (int(want[0]), None):
+        plain = Encoder(tokenizer_path())
+        plain.separator = separator
+        ids, m = plain.encode(texts)
+        assert ids.tolist() == want.tolist() and m.tolist() == n.tolist()
+
+
+def test_tokens_are_made_of_small_batches(spark, tmp_path, monkeypatch):
+    from staycoder.llm import token_output
+
+    real = token_output._tokenize
+
+    def checked(*options):
+        run = real(*options)
+
+        def small(batches):
+            for batch in batches:
+                if batch.nbytes > 10 << 20:
+                    raise ValueError(f"a batch of {batch.nbytes} bytes")
+                yield batch
+
+        return lambda batches: run(small(batches))
+
+    monkeypatch.setattr(token_output, "_tokenize", checked)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    rows = table(spark, [(0, "ab ")]).selectExpr("explode(sequence(1L, 20L)) AS doc_id", "repeat(text, 700000) AS text")
+    write_tokens(rows, f"{tmp_path}/t", tokenizer_path(), ranges=1)
+    got = token_index(spark, f"{tmp_path}/t").collect()
+    assert [r["n_tokens"] for r in got] == [700_001] * 20
+    assert spark.conf.get(setting) == before
+
+
 def test_only_words_of_the_benchmark_are_looked_at_in_spans():
     import numpy as np
 
