@@ -102,6 +102,20 @@ def test_shared_article_lines_stay(spark):
     assert plain[2] == "own text 2"
 
 
+def test_differencing_settles_open_lines_beside_an_article(spark):
+    def page(i):
+        body = "".join(f"<p>text {i}, paragraph {k}</p>" for k in range(4))
+        teaser = "<article class=teaser><p>Read on</p></article>"
+        return f"<nav>menu {i}</nav><div>Site name</div><div>{body}</div>{teaser}<div>Imprint</div><div class=ad>buy {i}</div>"
+
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(5)] + [(9, "http://alone/", page(9))]
+    got = {r["page_id"]: r for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert got[i]["text"] == "\n".join([*(f"text {i}, paragraph {k}" for k in range(4)), "Read on"])
+        assert (got[i]["n_lines"], got[i]["n_shared"], got[i]["n_chars"]) == (7, 3, len(got[i]["text"]))
+    assert got[9]["text"].split("\n") == ["Site name", *(f"text 9, paragraph {k}" for k in range(4)), "Read on", "Imprint"]  # no neighbour
+
+
 def test_query_on_the_given_pages(spark):
     from staycoder.llm.queries import QUERIES
 
