@@ -369,17 +369,13 @@ def jaccard_groups(
         _sets(width, percent, heavy),
         "id long, text_key long, n long, h1 long, h2 long, prefix array<long>, bitmap binary",
     )
-    # classes are numbered by their set's fingerprint h1; n and h2 confirm it when rows are named
-    classes = (
-        full.where("n > 0")
-        .groupBy("h1")
-        .agg(F.max("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
-        .withColumnRenamed("h1", "id")
-    )
-    classes = write_once(classes, "shingle-classes")
+    # a class is known by all of its set's identity, so that none loses its prefix to another; its number is given once
+    identity = ["h1", "h2", "n"]
+    classes = full.where("n > 0").groupBy(*identity).agg(F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
+    classes = write_once(classes.withColumn("id", F.monotonically_increasing_id()), "shingle-classes")
+    numbers = classes.select(*identity, F.col("id").alias("node"))
     sets = rows.mapInArrow(_identities(width), "id long, text_key long, n long, h1 long, h2 long")
     sets = write_once(sets, "shingle-sets")
-    identity = ["n", "h1", "h2"]
     least = sets.where("n > 0").groupBy(*identity).agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), F.coalesce("id", F.lit(0)), "text_key")).alias("row"))
 
     band = F.floor(F.log2("n") / 2)
@@ -401,8 +397,9 @@ def jaccard_groups(
     # texts of classes that occur in a tile with another one: the only ones that can be verified
     ids = members.select("id").distinct()
     none = F.lit(-(2**63))
-    home = sets.where("n > 0").groupBy("h1").agg(F.min(F.struct(F.coalesce("id", none).alias("doc"), "text_key")).alias("home"))
-    home = home.join(ids, home.h1 == ids.id, "left_semi").select(F.col("h1").alias("id"), "home.doc", "home.text_key")
+    home = sets.where("n > 0").groupBy(*identity).agg(F.min(F.struct(F.coalesce("id", none).alias("doc"), "text_key")).alias("home"))
+    wanted = numbers.join(ids.withColumnRenamed("id", "node"), "node", "left_semi")
+    home = home.join(wanted, identity).select(F.col("node").alias("id"), "home.doc", "home.text_key")
     texts = rows.select(F.coalesce("id", none).alias("doc"), "text_key", "text").join(home, ["doc", "text_key"])
     texts = texts.groupBy("doc", "text_key").agg(F.first("id").alias("id"), F.first("text").alias("text"))
     texts = write_once(texts.select("id", "text"), "tile-texts")
@@ -444,10 +441,10 @@ def jaccard_groups(
     links = links.unionByName(write_once(full.mapInArrow(_forests(width, percent), "a long, b long"), "links"))
     label = components(links)
 
-    named = least.withColumnRenamed("h1", "node").join(label, "node", "left")
+    named = least.join(numbers, identity).join(label, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("row").alias("first_row"))
-    named = named.join(smallest, "component").select(F.col("n"), F.col("node").alias("h1"), "h2", "component_id", "first_row")
+    named = named.join(smallest, "component").select(*identity, "component_id", "first_row")
     out = sets.select("id", "text_key", *identity).join(named, identity, "left")
     row = F.struct(F.col("id").isNull(), F.coalesce("id", F.lit(0)), F.col("text_key"))
     more = [F.col("text_key"), ((F.col("n") == 0) | (row == F.col("first_row"))).alias("first")] if with_rows else []

@@ -100,6 +100,42 @@ def test_jaccard_groups(spark):
     assert jaccard_groups(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_sets_with_one_half_of_their_identity_in_common_keep_their_links(spark, monkeypatch):
+    from staycoder.llm import jaccard_join
+
+    fingerprints = jaccard_join._fingerprints
+
+    def few(values, first):
+        h1, h2 = fingerprints(values, first)
+        return h1 & 3, h2  # many sets clash in h1
+
+    monkeypatch.setattr(jaccard_join, "_fingerprints", few)
+    rng = random.Random(11)
+    rows = [(0, None), (1, "a b")]
+    for _ in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(60)]
+        for at in (None, 0, 30):
+            rows.append((len(rows), " ".join(f"x{len(rows)}" if k == at else w for k, w in enumerate(base))))
+    got = {tuple(r) for r in jaccard_groups(table(spark, rows)).collect()}
+    assert got == shingle_groups_by_hand(rows)
+    assert len({g for _, _, g in got}) < 20
+
+
+def test_the_counted_part_never_changes_links(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(40)}" for _ in range(rng.choice([4, 9, 40, 90]))]
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(rng.randrange(3)):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(40)}"
+            rows.append((len(rows), " ".join(copy)))
+    monkeypatch.setattr("staycoder.llm.jaccard_join.COUNTED_TEXTS", 1000)  # next to nothing is counted
+    monkeypatch.setattr("staycoder.llm.jaccard_join.HEAVY_AT_MOST", 1)
+    assert {tuple(r) for r in jaccard_groups(table(spark, rows)).collect()} == shingle_groups_by_hand(rows)
+
+
 def test_a_large_group_of_near_copies(spark):
     """3,000 near copies: no two need reach the threshold, the links of the group do."""
     rng = random.Random(8)
